@@ -1,0 +1,25 @@
+"""Joining a log with a small table whose size is checked, not assumed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Row, functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> list[Row] | None:
+    """All rows of `df` if there are at most `limit`, else None.  Never fetches more than limit + 1."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` as a broadcast side if it was counted to be small; otherwise `df` itself.
+
+    Beyond the limit the caller's join becomes a shuffle join, where adaptive
+    execution splits skewed partitions.
+    """
+    rows = bounded_rows(df, limit)
+    if rows is None:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
