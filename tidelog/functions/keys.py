@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from tidelog.functions.wal import let
+
 
 def content_key(lsn: Column, table: Column, old: Column, new: Column) -> Column:
     """`lsn:table:` + 16 hex digits of the md5 over the sorted `k=v` pairs of the row image.
@@ -13,12 +15,16 @@ def content_key(lsn: Column, table: Column, old: Column, new: Column) -> Column:
     The image is `new` unless it is empty, then `old`.  Two changes of one payload
     that carry the same image share this key; `position_key` tells them apart.
     """
-    data = F.when(F.size(new) > 0, new).otherwise(old)
-    pairs = F.transform(
-        F.array_sort(F.map_entries(data)), lambda e: F.concat(e["key"], F.lit("="), e["value"])
-    )
-    digest = F.substring(F.md5(F.array_join(pairs, ":")), 1, 16)
-    return F.concat_ws(":", lsn, table, digest)
+
+    def image_text(data):
+        names = F.sort_array(F.map_keys(data))
+        return F.array_join(F.transform(names, lambda k: F.concat(k, F.lit("="), data[k])), ":")
+
+    # The images may be costly expressions themselves, so each is evaluated once.
+    text = let(F.struct(new.alias("new"), old.alias("old")), lambda i: image_text(
+        F.when(F.size(i["new"]) > 0, i["new"]).otherwise(i["old"])
+    ))
+    return F.concat_ws(":", lsn, table, F.substring(F.md5(text), 1, 16))
 
 
 def position_key(

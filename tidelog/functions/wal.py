@@ -61,15 +61,23 @@ def row_image(names: Column, values: Column) -> Column:
     return image_from_entries(pairs)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def image_from_entries(pairs: Column) -> Column:
-    unique = F.size(F.array_distinct(F.transform(pairs, lambda e: e["k"]))) == F.size(pairs)
-    last_wins = F.filter(
-        pairs,
-        lambda e, i: ~F.exists(
-            F.slice(pairs, i + F.lit(2), F.greatest(F.size(pairs), F.lit(1))), lambda later: later["k"] == e["k"]
-        ),
-    )
-    return F.when(unique, F.map_from_entries(pairs)).otherwise(F.map_from_entries(last_wins))
+    def build(p):
+        last_wins = F.filter(
+            p,
+            lambda e, i: ~F.exists(
+                F.slice(p, i + F.lit(2), F.greatest(F.size(p), F.lit(1))), lambda later: later["k"] == e["k"]
+            ),
+        )
+        unique = F.size(F.array_distinct(p["k"])) == F.size(p)
+        return F.map_from_entries(F.when(unique, p).otherwise(last_wins))
+
+    return let(pairs, build)
 
 
 def pair_list(pairs: Column) -> Column:

@@ -64,10 +64,11 @@ def apply_status(target: Target | None = None) -> Column:
     op = F.col("operation")
     unfit = F.lit(False)
     for image in ("new", "old"):
-        known = F.array(*[F.lit(c) for c in target.columns])
         # Only the image an operation uses can make it fail.
         used = op.isin("INSERT", "UPDATE") if image == "new" else op.isin("UPDATE", "DELETE")
-        extra = F.exists(F.map_keys(image), lambda k: ~F.array_contains(known, k))
+        # A column the target lacks: more names than the known ones account for.
+        known = sum((F.map_contains_key(image, c).cast("int") for c in target.columns), F.lit(0))
+        extra = F.size(image) > known
         broken = [
             F.col(image)[c].isNotNull() & F.col(image)[c].try_cast(t).isNull() for c, t in target.columns.items()
         ]
@@ -116,9 +117,9 @@ def _with_base(rows: DataFrame, base: DataFrame | None, target: Target) -> DataF
     return rows.unionByName(before)
 
 
-def after_truncate(rows: DataFrame) -> DataFrame:
-    """Rows past the last TRUNCATE of their table (one row per table is looked up)."""
-    barrier = rows.where("operation = 'TRUNCATE'").groupBy("tbl").agg(F.max("seq").alias("_barrier"))
+def after_truncate(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows past the last TRUNCATE that `log` has for their table (one row per table is looked up)."""
+    barrier = log.where("operation = 'TRUNCATE'").groupBy("tbl").agg(F.max("seq").alias("_barrier"))
     return (
         rows.where("operation <> 'TRUNCATE'")
         .join(checked_broadcast(barrier), "tbl", "left")
@@ -190,14 +191,22 @@ def summarise(rows: DataFrame, by: Sequence[str], values: Sequence[str], width:
 
 
 def apply_log(
-    changes: DataFrame, target: Target, base: DataFrame | None = None, width: int = segments.SEGMENT_ROWS
+    changes: DataFrame,
+    target: Target,
+    base: DataFrame | None = None,
+    width: int = segments.SEGMENT_ROWS,
+    raw_log: DataFrame | None = None,
 ) -> DataFrame:
     """Target rows after the log, for logs whose UPDATEs keep the key.
 
+    `raw_log`, if given, is the log `changes` was de-duplicated from.  It has the same
+    TRUNCATEs and is read for them, so that the de-duplication runs only once.
+
     Rows are found by key; other columns in `old` are taken to match, as they do in a
     log that was recorded from the target.  `apply_general` checks them and moves keys.
     """
-    rows = after_truncate(_with_base(_effective(changes, target), base, target))
+    log = changes if raw_log is None else raw_log
+    rows = after_truncate(_with_base(_effective(changes, target), base, target), log)
     state = summarise(rows, target.by, target.values, width).where("born")
     return state.select(*target.by, *[F.col(f"born_{c}").alias(c) for c in target.values])
 
@@ -265,7 +274,7 @@ def apply_general(
         blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in effective.schema.fields if f.name.startswith("_")]
         before = _with_base(effective.limit(0).select("seq", "tbl", "operation", *keys, *values), base, target)
         effective = effective.unionByName(before.select("*", *blank).fillna(False, ["_special"]))
-    rows = cut_lineage(after_truncate(effective))
+    rows = cut_lineage(after_truncate(effective, changes))
     special = rows.where("_special")
 
     # Keys touched by special changes, grouped into components by key changes.

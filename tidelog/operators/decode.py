@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.functions import wal
-from tidelog.schemas import ENVELOPE_DDL, PAYLOAD_DDL
+from tidelog.schemas import CHANGE_FIELDS, ENVELOPE_DDL, PAYLOAD_DDL
 
 
 def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add `doc` (the parsed payload) and `bad` (the text was not valid JSON)."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = df.withColumn("doc", F.from_json(F.col(payload), PAYLOAD_DDL, options))
-    bad = F.col("doc._corrupt").isNotNull() | F.col("doc").isNull()
+    bad = F.col(payload).isNull() | F.col("doc._corrupt").isNotNull()
     return parsed.withColumn("bad", bad)
 
 
@@ -27,14 +27,19 @@ def quarantine(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def _changes_of(doc: str) -> Column:
-    """The `change` array; a payload without one is itself a change if its operation is a row change."""
+    """The `change` array; a payload without one is itself a change if its operation is a row change.
+
+    NULL for a corrupt payload, so that exploding drops it without a filter, which would parse twice.
+    """
     fields = [
         "kind", "action", "schema", "table", "columns",
         "columnnames", "columnvalues", "identity", "oldkeys",
     ]
+    corrupt = F.col(f"{doc}._corrupt").isNotNull()
     top = F.array(F.struct(*[F.col(f"{doc}.{f}").alias(f) for f in fields]))
     operation = wal.operation_name(F.col(f"{doc}.kind"), F.col(f"{doc}.action"))
-    return F.when(F.col(f"{doc}.change").isNotNull(), F.col(f"{doc}.change")).when(
+    none = F.lit(None).cast(f"array<struct<{CHANGE_FIELDS}>>")
+    return F.when(corrupt, none).when(F.col(f"{doc}.change").isNotNull(), F.col(f"{doc}.change")).when(
         operation.isin(*wal.OPERATIONS), top
     )
 
@@ -55,7 +60,7 @@ def decode_payloads(
     The commit time falls back to `ingest_ms` (with `commit_time_missing` set) when
     the payload has none that can be read.
     """
-    good = parse_payloads(df, payload).where(~F.col("bad"))
+    good = parse_payloads(df, payload)
     stamp = wal.commit_ms(F.col("doc.timestamp"))
     changes = good.select(
         F.col(lsn).cast("string").alias("lsn"),

@@ -63,7 +63,8 @@ def dedup_by_ttl(
     of the one before.  A key leaves when nothing is left past its expiry, and there
     are at most span / ttl + 1 rounds; no key is ever collected into one task.
     """
-    rows = df.select(key, time, order)
+    # Written once: the key is computed from whole row images and is read several times.
+    rows = cut_lineage(df.select(key, time, order))
     kept = None
     while True:
         per_key = rows.groupBy(key).agg(

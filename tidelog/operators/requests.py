@@ -15,7 +15,7 @@ MUTATING = ("POST", "PATCH", "PUT", "DELETE")
 LIFECYCLE_ACTIONS = ("start", "pause", "resume", "cancel")
 EXEMPT = ("/api/v1/health", "/metrics")
 
-PIECE_MS = 1_000_000
+PIECE_MS = 4 * 3_600_000
 
 
 def _segments(path: Column) -> Column:

@@ -19,16 +19,16 @@ TTL_MS = 7 * DAY_MS
 NOW_MS = 1_705_708_800_000  # 2024-01-20 00:00:00 UTC, the "now" of every query on the log
 JOBS_NOW_MS = 946_684_800_000  # 2000-01-01 00:00:00 UTC, the "now" of every query on jobs
 
-_EPOCH_US = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {0})"
-
-
 def epoch_ms(column: str):
     """Epoch milliseconds (floor) of a timestamp without time zone, whatever the session zone."""
-    return F.expr(_EPOCH_US.format(column) + " div 1000")
+    return F.expr(
+        f"datediff(cast({column} AS date), DATE'1970-01-01') * 86400000L + hour({column}) * 3600000L"
+        f" + minute({column}) * 60000L + cast(floor(extract(SECOND FROM {column}) * 1000) AS bigint)"
+    )
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log, one row per change, with typed columns and string row images."""
+def flat_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log, one row per change, with the row values as typed columns."""
     e = table(spark, sf_dir, "events")
     seq, ms = F.col("event_id"), epoch_ms("ts")
     slot = F.expr("user_id % 4")
@@ -38,7 +38,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "error", F.lit("DELETE"))
         .otherwise(F.lit("UPDATE"))
     )
-    flat = e.select(
+    return e.select(
         seq.alias("seq"),
         seq.cast("string").alias("lsn"),
         ms.alias("commit_time"),
@@ -51,7 +51,21 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"),
         "ts",
     )
-    return flat.withColumn("new", new_image()).withColumn("old", old_image())
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log as change records: with the row images `new` and `old`."""
+    return with_images(flat_changes(spark, sf_dir), new_image(), old_image())
+
+
+def with_images(df: DataFrame, new, old) -> DataFrame:
+    """Add row images, each built once per row.
+
+    As plain columns they would be built anew in every condition on them that is pushed
+    down.  A stored log has no such cost, and needs none of this.
+    """
+    images = F.inline(F.array(F.struct(new.alias("new"), old.alias("old"))))
+    return df.select(*[c for c in df.columns if c not in ("new", "old")], images)
 
 
 def new_image():
@@ -70,7 +84,7 @@ def old_image():
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log with its offset within each archive partition."""
-    numbered = segments.running_count(changes(spark, sf_dir), ["part"], "seq", "position")
+    numbered = segments.running_count(flat_changes(spark, sf_dir), ["part"], "seq", "position")
     return numbered.withColumn("off", F.col("position") - 1).drop("position")
 
 
@@ -101,7 +115,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON payloads of three changes each, in both column encodings; every 101st is cut off."""
-    log = changes(spark, sf_dir).withColumn("grp", F.expr("seq div 3"))
+    log = flat_changes(spark, sf_dir).withColumn("grp", F.expr("seq div 3"))
     even = F.col("seq") % 2 == 0
     has_new = F.col("operation").isin("INSERT", "UPDATE")
     has_old = F.col("operation").isin("UPDATE", "DELETE")
@@ -160,7 +174,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hot_buffer(spark: SparkSession, sf_dir: str, size: int = 5000) -> DataFrame:
     """The newest changes with their buffer entry id (`stream_ms`, `stream_seq`)."""
-    newest = segments.newest(changes(spark, sf_dir), size, "seq")
+    newest = segments.newest(flat_changes(spark, sf_dir), size, "seq")
     same_ms = W.partitionBy("publish_ms").orderBy("seq")
     return newest.withColumn("stream_ms", F.col("publish_ms")).withColumn(
         "stream_seq", (F.row_number().over(same_ms) - 1).cast("bigint")
@@ -169,7 +183,7 @@ def hot_buffer(spark: SparkSession, sf_dir: str, size: int = 5000) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery attempts 1..4 of every change, with their outcome."""
-    log = changes(spark, sf_dir).select("seq", "part", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"))
+    log = flat_changes(spark, sf_dir).select("seq", "part", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"))
     ok = ((F.col("seq") + F.col("attempt")) % 11 != 0) & (F.col("seq") % 499 != 498)
     return log.withColumn("ok", ok).withColumn("dup", ok & (F.col("seq") % 23 == 0))
 

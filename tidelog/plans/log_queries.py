@@ -83,7 +83,7 @@ def wal_tables(spark, sf_dir):
 WHERE tbl IN ('public.t1', 'public.t3')""",
 )
 def capture_filter(spark, sf_dir):
-    kept = decode.capture_filter(d.changes(spark, sf_dir), "public.t1,*c.?3,audit.*")
+    kept = decode.capture_filter(d.flat_changes(spark, sf_dir), "public.t1,*c.?3,audit.*")
     return kept.select("seq", "tbl", "operation")
 
 
@@ -132,7 +132,7 @@ def bad_rows(spark, sf_dir):
     d.with_ctes("changes") + "SELECT part, off, seq, tbl, operation FROM changes",
 )
 def archive_layout(spark, sf_dir):
-    numbered = segments.running_count(d.changes(spark, sf_dir), ["tbl"], "seq", "position")
+    numbered = segments.running_count(d.flat_changes(spark, sf_dir), ["tbl"], "seq", "position")
     rows = numbered.select("part", (F.col("position") - 1).alias("off"), "seq", "tbl", "operation")
     return layout.layout_archive(rows, files=16)
 
@@ -142,4 +142,4 @@ def archive_layout(spark, sf_dir):
     d.with_ctes("changes") + "SELECT seq, tbl, operation, publish_ms FROM changes ORDER BY seq DESC LIMIT 5000",
 )
 def hot_buffer(spark, sf_dir):
-    return layout.retain_newest(d.changes(spark, sf_dir), 5000).select("seq", "tbl", "operation", "publish_ms")
+    return layout.retain_newest(d.flat_changes(spark, sf_dir), 5000).select("seq", "tbl", "operation", "publish_ms")

@@ -101,7 +101,7 @@ def checkpoint_advance(spark, sf_dir):
     _CHANGES + f"SELECT count(*)::BIGINT AS events FROM changes WHERE publish_ms BETWEEN {START_MS} AND {END_MS}",
 )
 def window_count(spark, sf_dir):
-    return replay.window_count(d.changes(spark, sf_dir), START_MS, END_MS)
+    return replay.window_count(d.flat_changes(spark, sf_dir), START_MS, END_MS)
 
 
 @query(
@@ -142,7 +142,7 @@ def validate_requests(spark, sf_dir):
     _CHANGES + "SELECT seq, tbl FROM changes WHERE regexp_matches(tbl, 't[13]$')",
 )
 def replay_table_filter(spark, sf_dir):
-    return replay.filter_tables(d.changes(spark, sf_dir), "t[13]$").select("seq", "tbl")
+    return replay.filter_tables(d.flat_changes(spark, sf_dir), "t[13]$").select("seq", "tbl")
 
 
 _SCHEDULE = (
@@ -157,7 +157,7 @@ scheduled AS (SELECT *, greatest({T0_MS}::DOUBLE, max(due_ms) OVER (PARTITION BY
 
 
 def _scheduled(spark, sf_dir):
-    log = d.changes(spark, sf_dir).select("part", "seq", "publish_ms")
+    log = d.flat_changes(spark, sf_dir).select("part", "seq", "publish_ms")
     speed = F.pow(F.lit(2.0), F.col("part"))
     return replay.schedule(log, speed, T0_MS, ["part"], time_col="publish_ms")
 

@@ -58,7 +58,7 @@ def jobs_eligible(spark, sf_dir):
 
 def job_commands(spark, sf_dir):
     """A command log: the job is the user, the command follows from the event."""
-    e = d.changes(spark, sf_dir)
+    e = d.flat_changes(spark, sf_dir)
     names = ["start", "acquire", "pause", "resume", "complete", "fail", "set_speed", "start", "cancel", "delete"]
     pick = F.when(e.kind == "error", (F.col("seq") % 10) + 1).otherwise((F.col("seq") % 8) + 1).cast("int")
     return e.select(
@@ -106,7 +106,7 @@ def job_lifecycle(spark, sf_dir):
     _CHANGES + "SELECT seq, tbl, operation, commit_time FROM changes WHERE contains(tbl, 't1') ORDER BY seq DESC LIMIT 50",
 )
 def recent_events(spark, sf_dir):
-    return browse.recent_events(d.changes(spark, sf_dir), 50, "t1").select("seq", "tbl", "operation", "commit_time")
+    return browse.recent_events(d.flat_changes(spark, sf_dir), 50, "t1").select("seq", "tbl", "operation", "commit_time")
 
 
 _COMMITTED = {"worker": (1_705_000_000_000, 0), "audit": (1_706_500_000_000, 0)}
@@ -132,7 +132,7 @@ def stream_stats(spark, sf_dir):
   SELECT seq, commit_time - lag(commit_time) OVER (ORDER BY seq) AS gap_ms FROM changes) WHERE gap_ms >= 5000""",
 )
 def idle_gaps(spark, sf_dir):
-    return browse.idle_gaps(d.changes(spark, sf_dir)).select("seq", "gap_ms", "heartbeats")
+    return browse.idle_gaps(d.flat_changes(spark, sf_dir)).select("seq", "gap_ms", "heartbeats")
 
 
 @query(
@@ -154,7 +154,7 @@ def event_search(spark, sf_dir):
     + "SELECT DISTINCT 'table' AS facet, tbl AS value FROM changes UNION SELECT DISTINCT 'operation', operation FROM changes",
 )
 def event_facets(spark, sf_dir):
-    return browse.facets(d.changes(spark, sf_dir))
+    return browse.facets(d.flat_changes(spark, sf_dir))
 
 
 _RESOURCE = """CASE WHEN path LIKE '%auth%' THEN 'auth' WHEN path LIKE '%/health' THEN 'health'
@@ -212,5 +212,5 @@ SELECT seq, ip, ts_ms, allowed, CASE WHEN allowed THEN level // 5000 ELSE 0 END
 def rate_limit(spark, sf_dir):
     """The sparse request log, run 10,000 times as fast so that clients hit the limit."""
     fast = d.requests(spark, sf_dir).withColumn("ts_ms", F.expr("ts_ms div 10000"))
-    limited = requests.rate_limit(fast, capacity=5, refill_per_s=0.2, piece_ms=20_000)
+    limited = requests.rate_limit(fast, capacity=5, refill_per_s=0.2)
     return limited.select("seq", "ip", "ts_ms", "allowed", "remaining")

@@ -209,7 +209,7 @@ def apply_changes(spark, sf_dir):
     delivered = d.deliveries(spark, sf_dir).select("idempotency_key", "seq", "tbl", "operation", "old", "new")
     # The images are functions of the key, so they need not be carried through the aggregation.
     first = delivered.dropDuplicates(["idempotency_key"])
-    return apply.apply_log(first, TARGET)
+    return apply.apply_log(first, TARGET, raw_log=d.flat_changes(spark, sf_dir))
 
 
 @query(
@@ -225,11 +225,10 @@ def apply_changes(spark, sf_dir):
 def apply_status(spark, sf_dir):
     seq = F.col("seq")
     bad_amount = F.transform_values("new", lambda k, v: F.when(k == "amt", F.lit("n/a")).otherwise(v))
-    rows = (
-        d.changes(spark, sf_dir)
-        .withColumn("operation", F.when(seq % 37 == 0, F.lit("MERGE")).otherwise(F.col("operation")))
-        .withColumn("new", F.when(seq % 31 == 0, F.map_filter("new", lambda k, v: F.lit(False)))
-                    .when(seq % 29 == 0, bad_amount).otherwise(F.col("new")))
+    none = F.map_filter("new", lambda k, v: F.lit(False))
+    new = F.when(seq % 31 == 0, none).when(seq % 29 == 0, bad_amount).otherwise(F.col("new"))
+    rows = d.with_images(d.changes(spark, sf_dir), new, F.col("old")).withColumn(
+        "operation", F.when(seq % 37 == 0, F.lit("MERGE")).otherwise(F.col("operation"))
     )
     return rows.groupBy(apply.apply_status(TARGET).alias("status"), "operation").agg(F.count(F.lit(1)).alias("n"))
 
@@ -265,11 +264,9 @@ def rekeyed(spark, sf_dir):
     rest = F.map_filter("new", lambda k, _: k != "id")
     tested = F.map_concat("old", F.map_from_arrays(F.array(F.lit("kind")), F.array(F.lit("click"))))
     seq = F.col("seq")
-    return (
-        d.changes(spark, sf_dir)
-        .withColumn("new", F.when(update & (seq % 50 == 0), F.map_concat(moved, rest)).otherwise(F.col("new")))
-        .withColumn("old", F.when(update & (seq % 50 == 25), tested).otherwise(F.col("old")))
-    )
+    new = F.when(update & (seq % 50 == 0), F.map_concat(moved, rest)).otherwise(F.col("new"))
+    old = F.when(update & (seq % 50 == 25), tested).otherwise(F.col("old"))
+    return d.with_images(d.changes(spark, sf_dir), new, old)
 
 
 @query("apply_rekey")

@@ -27,14 +27,14 @@ LEDGER = T.StructType(
 )
 
 _PAIRS = "array<struct<name string, type string, value string>>"
-_CHANGE_FIELDS = (
+CHANGE_FIELDS = (
     "kind string, action string, schema string, table string, "
     f"columns {_PAIRS}, columnnames array<string>, columnvalues array<string>, "
     f"identity {_PAIRS}, oldkeys struct<keynames array<string>, keyvalues array<string>>"
 )
 # A payload holds either `change[]` or one change in its top-level fields.
 PAYLOAD_DDL = (
-    f"timestamp string, change array<struct<{_CHANGE_FIELDS}>>, {_CHANGE_FIELDS}, _corrupt string"
+    f"timestamp string, change array<struct<{CHANGE_FIELDS}>>, {CHANGE_FIELDS}, _corrupt string"
 )
 
 ENVELOPE_DDL = (
