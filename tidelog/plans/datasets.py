@@ -49,6 +49,7 @@ def flat_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("id"),
         F.when(seq % 10 != 0, F.col("value")).alias("amt"),
         F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"),
+        "value",
         "ts",
     )
 
@@ -254,7 +255,7 @@ CTE: dict[str, str] = {
     CASE WHEN event_id % 997 = 996 THEN 'TRUNCATE' WHEN event_type = 'signup' THEN 'INSERT'
          WHEN event_type = 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation,
     user_id AS id, CASE WHEN event_id % 10 <> 0 THEN value END AS amt,
-    CASE WHEN event_type <> 'view' THEN event_type END AS kind
+    CASE WHEN event_type <> 'view' THEN event_type END AS kind, value
   FROM events)""",
     "images": """images AS (
   SELECT *, CASE WHEN operation IN ('INSERT', 'UPDATE') THEN concat_ws(':',
