@@ -29,7 +29,11 @@ def epoch_ms(column: str):
 
 def flat_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log, one row per change, with the row values as typed columns."""
-    e = table(spark, sf_dir, "events")
+    return flat_changes_of(table(spark, sf_dir, "events"))
+
+
+def flat_changes_of(e: DataFrame) -> DataFrame:
+    """The change log of an `events` table or stream."""
     seq, ms = F.col("event_id"), epoch_ms("ts")
     slot = F.expr("user_id % 4")
     operation = (

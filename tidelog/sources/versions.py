@@ -1,0 +1,50 @@
+"""Published versions of small groups of tables that must change together.
+
+Without a table format, a set of tables (target, ledger, checkpoint) is written under
+`path/v=N/` and becomes visible by the marker written last.  A rerun of N writes the
+same folders again, so publishing is idempotent, and readers never see half a version.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
+
+_MARKER = "_PUBLISHED"
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def publish(spark: SparkSession, path: str, version: int, tables: Mapping[str, DataFrame]) -> None:
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/v={version}/{name}")
+    fs, new_path = _fs(spark, path)
+    fs.create(new_path(f"{path}/v={version}/{_MARKER}"), True).close()
+
+
+def published(spark: SparkSession, path: str) -> list[int]:
+    fs, new_path = _fs(spark, path)
+    found = fs.globStatus(new_path(f"{path}/v=*/{_MARKER}")) or []
+    return sorted(int(s.getPath().getParent().getName().removeprefix("v=")) for s in found)
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """Newest published version, below `before` if given."""
+    versions = [v for v in published(spark, path) if before is None or v < before]
+    return versions[-1] if versions else None
+
+
+def read(spark: SparkSession, path: str, version: int, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v={version}/{name}")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the newest `keep` published versions."""
+    fs, new_path = _fs(spark, path)
+    for version in published(spark, path)[:-keep]:
+        fs.delete(new_path(f"{path}/v={version}"), True)

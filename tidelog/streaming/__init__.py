@@ -1,0 +1 @@
+"""Structured Streaming jobs over change logs."""
