@@ -91,7 +91,7 @@ def stream_dedup(spark, sf_dir):
     # Deliveries arrive in order of time: one range of it per file.
     rows.repartitionByRange(_FILES, "delivered_ms").write.parquet(f"{root}/log")
     stream = logs.stream_log(spark, f"{root}/log", rows.schema, files_per_trigger=_FILES)
-    kept = dedup.dedup_stream(stream, "delivered_ms", "delivery")
+    kept = dedup.dedup_stream(stream, "delivered_ms", "delivery", expire=False)
     capture.run(kept, _append_to(f"{root}/kept"), f"{root}/progress").awaitTermination()
     return capture.committed(spark, f"{root}/kept").select("delivery", KEY, "delivered_ms")
 

@@ -2,50 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession, types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+import pandas as pd
+from pyspark.sql import DataFrame
 
 from tidelog.operators.dedup import KEY, TTL_MS
 
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep streaming state in RocksDB, which the stateful operators here need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-
-
-class _LastApplied(StatefulProcessor):
-    """Per key the time of the last applied delivery; passes on the deliveries that apply."""
-
-    def __init__(self, time: str, order: str, ttl_ms: int, fields: list[str]) -> None:
-        self._time, self._order, self._ttl, self._fields = time, order, ttl_ms, fields
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # State that no delivery has touched for twice the time to live is dropped.
-        self._last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]), 2 * self._ttl)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        saved = self._last.get()
-        last = None if saved is None else saved[0]
-        changed = False
-        # One key's deliveries within a micro-batch, which the trigger bounds.
-        for row in sorted(rows, key=lambda r: (r[self._time], r[self._order])):
-            if last is None or row[self._time] >= last + self._ttl:
-                last, changed = row[self._time], True
-                yield Row(**{f: row[f] for f in self._fields})
-        if changed:
-            self._last.update((last,))
-
-    def close(self) -> None:
-        pass
-
 
-def dedup_stream(stream: DataFrame, time: str, order: str, ttl_ms: int = TTL_MS, key: str = KEY) -> DataFrame:
-    """The deliveries that apply: the streaming twin of `dedup_by_ttl`, over the same time column."""
-    use_rocksdb(stream.sparkSession)
-    return stream.groupBy(key).transformWithState(
-        _LastApplied(time, order, ttl_ms, stream.columns), stream.schema, "Append", "ProcessingTime"
+def dedup_stream(
+    stream: DataFrame, time: str, order: str, ttl_ms: int = TTL_MS, key: str = KEY, expire: bool = True
+) -> DataFrame:
+    """The deliveries that apply: the streaming twin of `dedup_by_ttl`, over the same time column.
+
+    The state of a key is the time of its last applied delivery.  With `expire`, state that
+    no delivery has touched for twice the time to live is dropped; this needs a stream that
+    stays up, since its timers keep an `availableNow` run from ending.  A key's deliveries within one
+    micro-batch are sorted together, so the trigger's size bounds them.
+    """
+
+    def last_applied(_, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values([time, order])
+        last = state.get[0] if state.exists else None
+        kept = []
+        for i, at in enumerate(rows[time]):
+            if last is None or at >= last + ttl_ms:
+                last = int(at)
+                kept.append(i)
+        if kept:
+            state.update((last,))
+        if expire:
+            state.setTimeoutDuration(2 * ttl_ms)
+        yield rows.iloc[kept]
+
+    return stream.groupBy(key).applyInPandasWithState(
+        last_applied, stream.schema, "last bigint", "append", "ProcessingTimeTimeout" if expire else "NoTimeout"
     )
