@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tidelog.operators import dedup, jobs, requests
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_ttl_dedup_matches_fold(spark, seed):
     rng = random.Random(seed)
-    times = sorted((rng.randrange(400), rng.choice("aaab")) for _ in range(150))
+    times = sorted((rng.randrange(150), rng.choice("aaab")) for _ in range(150))
     data = [(k, t, i) for i, (t, k) in enumerate(times)]
     kept, last = set(), {}
     for k, t, i in data:

@@ -35,10 +35,11 @@ def commit_ms(text: Column) -> Column:
     zoned = F.when(F.substring_index(stamp, "T", -1).rlike(_OFFSET), stamp).otherwise(
         F.concat(stamp, F.lit("+00:00"))
     )
-    has_time = stamp.rlike(r"^\d{4}-\d{2}-\d{2}T\d")
+    date = r"^\d{4}-\d{2}-\d{2}"
+    midnight = F.concat(stamp, F.lit("T00:00:00+00:00"))
     return F.unix_millis(
-        F.when(has_time, zoned.try_cast("timestamp")).otherwise(
-            F.concat(stamp, F.lit("T00:00:00+00:00")).try_cast("timestamp")
+        F.when(stamp.rlike(date + r"T\d"), zoned.try_cast("timestamp")).when(
+            stamp.rlike(date + "$"), midnight.try_cast("timestamp")
         )
     )
 
