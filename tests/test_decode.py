@@ -124,6 +124,8 @@ def test_keys(spark):
     two = [r[0] for r in df.select(keys.primary_key(*c, ["a", "b"])).collect()]
     assert two[1] == "0/CCDD:public.order_items:10:20"
     content = [r[0] for r in df.select(keys.content_key(c[0], c[1], c[3], c[4])).collect()]
+    for known in (["a", "b"], ["b", "id", "a", "zz"], ["a"], ["id"]):
+        assert [r[0] for r in df.select(keys.content_key(c[0], c[1], c[3], c[4], known)).collect()] == content
     md5 = hashlib.md5(b"a=10:b=20").hexdigest()[:16]
     assert content[1] == f"0/CCDD:public.order_items:{md5}"
 

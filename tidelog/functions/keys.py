@@ -9,21 +9,32 @@ from pyspark.sql import Column, functions as F
 from tidelog.functions.wal import let
 
 
-def content_key(lsn: Column, table: Column, old: Column, new: Column) -> Column:
+def content_key(
+    lsn: Column, table: Column, old: Column, new: Column, columns: Sequence[str] = ()
+) -> Column:
     """`lsn:table:` + 16 hex digits of the md5 over the sorted `k=v` pairs of the row image.
 
     The image is `new` unless it is empty, then `old`.  Two changes of one payload
     that carry the same image share this key; `position_key` tells them apart.
+
+    `columns` names the columns images usually have.  An image with no other names takes a
+    path of compiled expressions; any other goes through the sorted list of its names, with
+    the same result.
     """
 
     def image_text(data):
         names = F.sort_array(F.map_keys(data))
         return F.array_join(F.transform(names, lambda k: F.concat(k, F.lit("="), data[k])), ":")
 
-    # The images may be costly expressions themselves, so each is evaluated once.
-    text = let(F.struct(new.alias("new"), old.alias("old")), lambda i: image_text(
-        F.when(F.size(i["new"]) > 0, i["new"]).otherwise(i["old"])
-    ))
+    def known_text(data):
+        return F.concat_ws(":", *[F.concat(F.lit(f"{c}="), data[c]) for c in sorted(columns)])
+
+    data = F.when(F.size(new) > 0, new).otherwise(old)
+    if columns:
+        present = sum((data[c].isNotNull().cast("int") for c in columns), F.lit(0))
+        text = F.when(F.size(data) == present, known_text(data)).otherwise(let(data, image_text))
+    else:
+        text = let(data, image_text)
     return F.concat_ws(":", lsn, table, F.substring(F.md5(text), 1, 16))
 
 

@@ -61,9 +61,17 @@ def _after(state: str, command: str) -> str | None:
     return TRANSITIONS.get(command, {}).get(state)
 
 
-def lifecycle(commands: DataFrame, job: str = "job_id", order: str = "seq", width: int = 1_000_000) -> DataFrame:
+def lifecycle(
+    commands: DataFrame,
+    job: str = "job_id",
+    order: str = "seq",
+    width: int = 1_000_000,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """Every command with the job's state before and after it, and whether it was accepted.
 
+    Columns named in `carry` are kept.
+
     An illegal command leaves the state unchanged.  Jobs start pending.
 
     A run of commands maps each state a job may be in to the state it ends in, and such
@@ -74,7 +82,7 @@ def lifecycle(commands: DataFrame, job: str = "job_id", order: str = "seq", widt
     """
     states = [*STATES, ABSENT]
     job_type = commands.schema[job].dataType
-    rows = commands.select(job, order, "command").withColumn("_seg", segments.segment_of(order, width))
+    rows = commands.select(job, order, "command", *carry).withColumn("_seg", segments.segment_of(order, width))
 
     def all_ends(row, state):
         ends = state or {job: row[job], "_seg": row["_seg"], **{s: s for s in states}}
@@ -90,6 +98,7 @@ def lifecycle(commands: DataFrame, job: str = "job_id", order: str = "seq", widt
         line = {
             job: row[job], order: row[order], "command": row["command"],
             "before": before, "after": after or before, "accepted": after is not None,
+            **{c: row[c] for c in carry},
         }
         return after or before, [line]
 
@@ -105,16 +114,19 @@ def lifecycle(commands: DataFrame, job: str = "job_id", order: str = "seq", widt
     entries = fold_sorted(ends, [job], "_seg", entry, struct(("_seg", number), ("_entry", text)))
     return fold_sorted(
         rows.join(entries, [job, "_seg"]), [job, "_seg"], order, mark,
-        struct((order, number), ("command", text), ("before", text), ("after", text), ("accepted", T.BooleanType())),
+        struct((order, number), ("command", text), ("before", text), ("after", text), ("accepted", T.BooleanType()),
+               *[(c, commands.schema[c].dataType) for c in carry]),
     )
 
 
-def lifecycle_state(marked: DataFrame, times: DataFrame, job: str = "job_id", order: str = "seq") -> DataFrame:
-    """Per job: final state, counts, completion time, and whether its lease is cleared."""
-    rows = marked.join(times, [job, order])
+def lifecycle_state(marked: DataFrame, job: str = "job_id", order: str = "seq") -> DataFrame:
+    """Per job: final state, counts, completion time, and whether its lease is cleared.
+
+    `marked` is a lifecycle that carries `ts_ms`.
+    """
     accepted = F.col("accepted")
     last = F.max_by("command", F.when(accepted, F.col(order)))
-    return rows.groupBy(job).agg(
+    return marked.groupBy(job).agg(
         F.max_by("after", order).alias("state"),
         F.count(F.when(accepted, F.lit(1))).alias("accepted"),
         F.count(F.when(~accepted, F.lit(1))).alias("rejected"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidelog.operators import segments
 from tidelog.operators.fold import fold_sorted
+from tidelog.session import cut_lineage
 
 # Audited methods, lifecycle actions, exempt paths.
 MUTATING = ("POST", "PATCH", "PUT", "DELETE")
@@ -93,12 +94,13 @@ def rate_limit(
     limited = df
     for prefix in EXEMPT:
         limited = limited.where(~F.col("path").startswith(prefix))
-    ticks = limited.groupBy(client, time).agg(F.count(F.lit(1)).alias("n"))
+    # Both are written once, as every step below reads them more than once.
+    ticks = cut_lineage(limited.groupBy(client, time).agg(F.count(F.lit(1)).alias("n")))
     ticks = segments.previous(ticks, [client], time, F.col(time), "_before")
     opens = F.col("_before").isNull() | ((F.col(time) - F.col("_before")) * refill >= full)
     ticks = segments.running_max(ticks, [client], time, F.when(opens, F.col(time)), "_session")
     piece = F.expr(f"(`{time}` - _session) div {int(piece_ms)}L")
-    ticks = ticks.select(client, time, "n", "_session", piece.alias("_piece"))
+    ticks = cut_lineage(ticks.select(client, time, "n", "_session", piece.alias("_piece")))
     group = [client, "_session", "_piece"]
 
     client_type = df.schema[client].dataType

@@ -17,6 +17,7 @@ from tidelog.sources.tables import table
 DAY_MS = 86_400_000
 TTL_MS = 7 * DAY_MS
 NOW_MS = 1_705_708_800_000  # 2024-01-20 00:00:00 UTC, the "now" of every query on the log
+IMAGE_COLUMNS = ("id", "amt", "kind")
 JOBS_NOW_MS = 946_684_800_000  # 2000-01-01 00:00:00 UTC, the "now" of every query on jobs
 
 def epoch_ms(column: str):
@@ -93,6 +94,10 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.withColumn("off", F.col("position") - 1).drop("position")
 
 
+def content_key():
+    return keys.content_key(F.col("lsn"), F.col("tbl"), F.col("old"), F.col("new"), IMAGE_COLUMNS)
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At-least-once deliveries: every 7th change again after 1 h, every 21st after 8 days."""
     log = changes(spark, sf_dir).drop("ts")
@@ -102,16 +107,14 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         log.withColumn("copy", F.explode(copies))
         .withColumn("delivered_ms", F.col("publish_ms") + F.when(F.col("copy") == 1, late).otherwise(0))
         .withColumn("delivery", F.col("seq") * 2 + F.col("copy"))
-        .withColumn(
-            "idempotency_key", keys.content_key(F.col("lsn"), F.col("tbl"), F.col("old"), F.col("new"))
-        )
+        .withColumn("idempotency_key", content_key())
     )
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger of already processed changes: every 5th change, kept for 7 days."""
     return changes(spark, sf_dir).where("seq % 5 = 0").select(
-        keys.content_key(F.col("lsn"), F.col("tbl"), F.col("old"), F.col("new")).alias("idempotency_key"),
+        content_key().alias("idempotency_key"),
         F.col("publish_ms").alias("processed_at"),
         F.concat(F.lit("job-"), F.col("part").cast("string")).alias("job_id"),
         (F.col("publish_ms") + TTL_MS).alias("expires_at"),

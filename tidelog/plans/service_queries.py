@@ -97,8 +97,7 @@ FROM walk WHERE rn > 0 GROUP BY job_id"""
 @query("job_lifecycle", _LIFECYCLE_SQL)
 def job_lifecycle(spark, sf_dir):
     commands = job_commands(spark, sf_dir)
-    marked = jobs.lifecycle(commands, width=100_000)
-    return jobs.lifecycle_state(marked, commands.select("job_id", "seq", "ts_ms"))
+    return jobs.lifecycle_state(jobs.lifecycle(commands, carry=("ts_ms",)))
 
 
 @query(

@@ -24,8 +24,7 @@ _CHANGES = d.with_ctes("changes")
 
 @query("idempotency_key", _KEYED + "SELECT seq, idempotency_key FROM keyed")
 def idempotency_key(spark, sf_dir):
-    key = keys.content_key(F.col("lsn"), F.col("tbl"), F.col("old"), F.col("new"))
-    return d.changes(spark, sf_dir).select("seq", key.alias("idempotency_key"))
+    return d.changes(spark, sf_dir).select("seq", d.content_key().alias("idempotency_key"))
 
 
 @query(
