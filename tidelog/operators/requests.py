@@ -91,7 +91,7 @@ def rate_limit(
     cost, refill = per_ms.denominator, per_ms.numerator
     full = capacity * cost
 
-    limited = df
+    limited = df.withColumn(client, F.coalesce(client, F.lit("unknown")))
     for prefix in EXEMPT:
         limited = limited.where(~F.col("path").startswith(prefix))
     # Both are written once, as every step below reads them more than once.

@@ -9,7 +9,9 @@ log into segments of at most `width` rows:
 2. a window over those few rows gives what each segment inherits from earlier ones,
 3. a window inside (key, segment) does the rest.
 
-No task ever holds more than one segment of a key, however hot the key is.
+No task ever holds more than one segment of a key, however hot the key is.  The input is
+read twice, the first time only its keys and the scanned value.  Neither the keys nor the
+ordering column may be NULL.
 """
 
 from __future__ import annotations

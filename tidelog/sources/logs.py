@@ -44,7 +44,8 @@ def kafka_options(
 
     Without a checkpoint every partition starts at `start_ms`, or at its end if nothing
     is that new.  With one, `partitions` names them all: saved ones start one past their
-    offset, and the others at `first_offset`, which the caller looks up beforehand.
+    offset, the others at their beginning.  `archive_range` with the same checkpoint then
+    takes those to `start_ms`.
     """
     options = {"kafka.bootstrap.servers": servers, "subscribe": topic}
     if checkpoint:
