@@ -43,4 +43,7 @@ def fold_sorted(
         if state is not None and finish:
             yield pa.RecordBatch.from_pylist(list(finish(state)), schema=arrow)
 
-    return df.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
+    # A fixed number of partitions: merging them by size, as is done after other shuffles,
+    # would leave this per-row work to a few tasks.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
