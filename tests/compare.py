@@ -48,7 +48,9 @@ def main():
     from tidelog.session import get_session
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
-    spark = get_session("compare", 8, **{"spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+    conf = {"spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"}
+    conf.update(kv.split("=", 1) for kv in os.environ.get("COMPARE_CONF", "").split(",") if kv)
+    spark = get_session("compare", 8, **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     registered, sql = queries(), oracle_sql()
