@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.operators import replay
 from tidelog.plans import datasets as d
 from tidelog.plans.registry import query
+from tidelog.session import cut_lineage
 
 # 2024-01-10 00:00 to 2024-01-17 00:00 UTC.
 START_MS = 1_704_844_800_000
@@ -197,6 +198,11 @@ def _folded(spark, sf_dir):
     return replay.fold_retries(log, ["job_id", "seq"])
 
 
+def _folded_once(spark, sf_dir):
+    """The folded attempts, written once: they are read for the first failures and again."""
+    return cut_lineage(_folded(spark, sf_dir))
+
+
 @query("retry_outcome", _FOLDED + "SELECT job_id, seq, attempts, success, was_duplicate, backoff_s FROM folded")
 def retry_outcome(spark, sf_dir):
     return _folded(spark, sf_dir)
@@ -208,7 +214,7 @@ def retry_outcome(spark, sf_dir):
     + "SELECT f.job_id, f.seq FROM folded f LEFT JOIN fails x USING (job_id) WHERE x.fail_seq IS NULL OR f.seq < x.fail_seq",
 )
 def fail_fast_prefix(spark, sf_dir):
-    return replay.fail_fast(_folded(spark, sf_dir), ~F.col("success")).select("job_id", "seq")
+    return replay.fail_fast(_folded_once(spark, sf_dir), ~F.col("success")).select("job_id", "seq")
 
 
 @query(
@@ -226,4 +232,4 @@ def fail_fast_prefix(spark, sf_dir):
   FROM folded LEFT JOIN fails USING (job_id) GROUP BY job_id)""",
 )
 def run_summary(spark, sf_dir):
-    return replay.run_summary(_folded(spark, sf_dir))
+    return replay.run_summary(_folded_once(spark, sf_dir))
