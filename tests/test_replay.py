@@ -50,14 +50,12 @@ def test_archive_range_matches_scan(spark, seed):
     assert strict == sum(10 <= r[2] <= 30 for r in rows)
 
 
-def test_archive_range_without_broadcast(spark, monkeypatch):
-    rng = random.Random(9)
-    rows = archive(rng)
-    df = spark.createDataFrame(rows, ARCHIVE)
-    monkeypatch.setattr(replay, "bounded_rows", lambda d: None)
-    monkeypatch.setattr(replay, "checked_broadcast", lambda d: d)
-    got = sorted((r.part, r.off) for r in replay.archive_range(df, 10, 40).collect())
-    assert got == scan(rows, 10, 40, {})
+def test_archive_range_prunes_a_stored_archive(spark, tmp_path):
+    rows = archive(random.Random(9))
+    spark.createDataFrame(rows, ARCHIVE).write.parquet(f"{tmp_path}/archive")
+    found = replay.archive_range(spark.read.parquet(f"{tmp_path}/archive"), 10, 40)
+    assert sorted((r.part, r.off) for r in found.collect()) == scan(rows, 10, 40, {})
+    assert "GreaterThanOrEqual(off" in found._jdf.queryExecution().toString()
 
 
 def test_frontier_golden(spark):

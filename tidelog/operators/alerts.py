@@ -34,11 +34,11 @@ class Rule:
 RULES = (
     Rule("IngestorStalled", "critical", "ingestor", 5 * MINUTE_MS, "ingest_rate", equals=0),
     Rule("HighIngestLatency", "warning", "ingestor", 5 * MINUTE_MS, "ingest_p99", above=1),
-    Rule("HotBufferNearCapacity", "warning", "hot_buffer", 2 * MINUTE_MS, "buffer_length", above=90_000),
+    Rule("RedisStreamNearCapacity", "warning", "redis", 2 * MINUTE_MS, "buffer_length", above=90_000),
     Rule("ReplayerStalled", "critical", "replayer", 10 * MINUTE_MS, "replay_rate", equals=0, while_positive="active_jobs"),
     Rule("ReplayerHighFailureRate", "warning", "replayer", 5 * MINUTE_MS, "failure_share", above=0.05),
     Rule("HighReplayLatency", "warning", "replayer", 5 * MINUTE_MS, "replay_p99", above=0.5),
-    Rule("ArchiveConsumerLagCritical", "critical", "archive", 5 * MINUTE_MS, "consumer_lag", above=10_000),
+    Rule("KafkaConsumerLagCritical", "critical", "kafka", 5 * MINUTE_MS, "consumer_lag", above=10_000),
     Rule("JobLeaseExpiredWithRunningState", "warning", "jobs", 1 * MINUTE_MS, "expired_leases", above=0),
     Rule("ControlPlaneDown", "critical", "control", 2 * MINUTE_MS, "up", equals=0),
 )

@@ -24,7 +24,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelog.functions.wal import OPERATIONS
 from tidelog.operators import segments
-from tidelog.operators.lookup import checked_broadcast
 from tidelog.session import cut_lineage
 
 FOLD_ITEMS = 100_000
@@ -122,7 +121,7 @@ def after_truncate(rows: DataFrame, log: DataFrame) -> DataFrame:
     barrier = log.where("operation = 'TRUNCATE'").groupBy("tbl").agg(F.max("seq").alias("_barrier"))
     return (
         rows.where("operation <> 'TRUNCATE'")
-        .join(checked_broadcast(barrier), "tbl", "left")
+        .join(barrier, "tbl", "left")
         .where(F.col("_barrier").isNull() | (F.col("seq") > F.col("_barrier")))
         .drop("_barrier")
     )
@@ -197,18 +196,12 @@ def apply_log(
     width: int = segments.SEGMENT_ROWS,
     raw_log: DataFrame | None = None,
 ) -> DataFrame:
-    """Target rows after the log, for logs whose UPDATEs keep the key.
+    """Target rows after the log: every column in `old` must match the row, by `apply_general`.
 
     `raw_log`, if given, is the log `changes` was de-duplicated from.  It has the same
     TRUNCATEs and is read for them, so that the de-duplication runs only once.
-
-    Rows are found by key; other columns in `old` are taken to match, as they do in a
-    log that was recorded from the target.  `apply_general` checks them and moves keys.
     """
-    log = changes if raw_log is None else raw_log
-    rows = after_truncate(_with_base(_effective(changes, target), base, target), log)
-    state = summarise(rows, target.by, target.values, width).where("born")
-    return state.select(*target.by, *[F.col(f"born_{c}").alias(c) for c in target.values])
+    return apply_general(changes, target, base, width, raw_log)
 
 
 def state_as_of(
@@ -234,31 +227,29 @@ def apply_inserts(base: DataFrame, changes: DataFrame, target: Target) -> DataFr
 
 
 def apply_updates(base: DataFrame, changes: DataFrame, target: Target) -> DataFrame:
-    """Base with the last non-NULL value of each updated column."""
-    rows = _effective(changes.where("operation = 'UPDATE'"), target)
-    last = rows.groupBy(*target.by).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_u_{c}") for c in target.values]
-    )
-    return base.join(last, target.by, "left").select(
-        *target.by, *[F.coalesce(F.col(f"_u_{c}"), F.col(c)).alias(c) for c in target.values]
-    )
+    """Base with its UPDATEs applied in log order, where all of `old` matches the row."""
+    return apply_general(changes.where("operation = 'UPDATE'"), target, base)
 
 
 def apply_deletes(base: DataFrame, changes: DataFrame, target: Target) -> DataFrame:
-    gone = _effective(changes.where("operation = 'DELETE'"), target).select(*target.by).distinct()
-    return base.join(gone, target.by, "left_anti")
+    """Base without the rows that a DELETE's `old` matches in all its columns."""
+    return apply_general(changes.where("operation = 'DELETE'"), target, base)
 
 
 def apply_truncates(base: DataFrame, changes: DataFrame) -> DataFrame:
     emptied = changes.where("operation = 'TRUNCATE'").select("tbl").distinct()
-    return base.join(checked_broadcast(emptied), "tbl", "left_anti")
+    return base.join(emptied, "tbl", "left_anti")
 
 
 # --- key-changing updates -----------------------------------------------------
 
 
 def apply_general(
-    changes: DataFrame, target: Target, base: DataFrame | None = None, width: int = segments.SEGMENT_ROWS
+    changes: DataFrame,
+    target: Target,
+    base: DataFrame | None = None,
+    width: int = segments.SEGMENT_ROWS,
+    raw_log: DataFrame | None = None,
 ) -> DataFrame:
     """Target rows after a log that may change keys or test other columns in `old`.
 
@@ -274,8 +265,11 @@ def apply_general(
         blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in effective.schema.fields if f.name.startswith("_")]
         before = _with_base(effective.limit(0).select("seq", "tbl", "operation", *keys, *values), base, target)
         effective = effective.unionByName(before.select("*", *blank).fillna(False, ["_special"]))
-    rows = cut_lineage(after_truncate(effective, changes))
+    rows = cut_lineage(after_truncate(effective, changes if raw_log is None else raw_log))
     special = rows.where("_special")
+    if special.isEmpty():
+        state = summarise(rows.select("seq", "tbl", "operation", *keys, *values), target.by, values, width).where("born")
+        return state.select(*target.by, *[F.col(f"born_{c}").alias(c) for c in values])
 
     # Keys touched by special changes, grouped into components by key changes.
     here, there = F.struct(*keys), F.struct(*[F.col(f"_to_{k}").alias(k) for k in keys])

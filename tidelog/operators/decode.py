@@ -86,13 +86,26 @@ def capture_filter(df: DataFrame, globs: str | list[str] = "public.*", table: st
     return df.where(F.col(table).rlike(wal.glob_regex(globs)))
 
 
+def _parsed_envelopes(df: DataFrame, envelope: str) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = df.withColumn("e", F.from_json(F.col(envelope), f"{ENVELOPE_DDL}, _corrupt STRING", options))
+    return parsed.withColumn("bad", F.col("e").isNull() | F.col("e._corrupt").isNotNull())
+
+
+def quarantine_envelopes(df: DataFrame, envelope: str = "envelope") -> DataFrame:
+    """Stored envelopes that cannot be decoded, with their error type."""
+    bad = _parsed_envelopes(df, envelope).where("bad").drop("e", "bad")
+    return bad.withColumn("error_type", F.lit("parse_error"))
+
+
 def decode_envelopes(df: DataFrame, envelope: str = "envelope") -> DataFrame:
     """JSON envelopes to change records.
 
     Unknown fields are ignored; an absent field becomes "", 0 or an empty map; an
-    empty operation means INSERT.
+    empty operation means INSERT.  Envelopes that are NULL or no JSON are left out: they are
+    what `quarantine_envelopes` returns.
     """
-    e = df.withColumn("e", F.from_json(envelope, ENVELOPE_DDL))
+    e = _parsed_envelopes(df, envelope).where("NOT bad")
     operation = F.coalesce(F.col("e.operation"), F.lit(""))
     return e.select(
         F.coalesce("e.lsn", F.lit("")).alias("lsn"),

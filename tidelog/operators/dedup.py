@@ -48,7 +48,8 @@ def upsert_ledger(ledger: DataFrame, applied: DataFrame, ttl_ms: int = TTL_MS) -
 def check_and_mark(df: DataFrame, ledger: DataFrame, order: list[str]) -> DataFrame:
     """Rows that are new: the first of each key, if the ledger has no entry (expired or not)."""
     others = [c for c in df.columns if c != KEY and c not in order]
-    first = df.groupBy(KEY).agg(F.min(F.struct(*order, *others)).alias("r"))
+    # Row images are maps, which have no order, so only `order` is compared.
+    first = df.groupBy(KEY).agg(F.min_by(F.struct(*order, *others), F.struct(*order)).alias("r"))
     return first.join(ledger.select(KEY), KEY, "left_anti").select(KEY, "r.*")
 
 

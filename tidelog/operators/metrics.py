@@ -20,14 +20,10 @@ THROUGHPUT_MAX = 1000.0
 HISTORY = 60
 PERCENTILES = (0.5, 0.9, 0.99)
 
-# The grammar of a metric page.
-HELP_LINE = r"^# HELP (\S+) (.+)$"
-TYPE_LINE = r"^# TYPE (\S+) (\S+)$"
-SAMPLE_LINE = (
-    r"^([a-zA-Z_:][a-zA-Z0-9_:]*)?(\{[^}]*\})?\s+"
-    r"([+-]?\d*\.?\d+(?:[eE][+-]?\d+)?|NaN|[+-]?Inf)$"
-)
-LABEL = r'(\w+)="([^"]*)"'
+# Metric pages, from the public text format: a line is a name, labels in braces, and a value.
+_LABEL = r'[a-zA-Z_][a-zA-Z0-9_]*[ \t]*=[ \t]*"(?:[^"\\]|\\.)*+"'
+_LINE = rf"^([a-zA-Z_:][a-zA-Z0-9_:]*+)?[ \t]*(?:\{{((?:[ \t]*{_LABEL}[ \t]*,?)*+)[ \t]*\}})?[ \t]*([^ \t{{}}\"]+)$"
+_LABEL_PARTS = _LABEL.replace("[a-zA-Z_][a-zA-Z0-9_]*", "([a-zA-Z_][a-zA-Z0-9_]*)", 1).replace('"(?:', '"((?:').replace('*+"', '*+)"')
 FAMILY_SUFFIXES = ("_bucket", "_count", "_sum", "_total")
 
 
@@ -55,13 +51,17 @@ def histogram(df: DataFrame, labels: Sequence[str], value: str, buckets: Sequenc
 
 
 def percentiles(
-    buckets: DataFrame, labels: Sequence[str], points: Sequence[float] = PERCENTILES, count: str = "count"
+    buckets: DataFrame,
+    labels: Sequence[str],
+    points: Sequence[float] = PERCENTILES,
+    count: str = "count",
+    unbounded: float | None = None,
 ) -> DataFrame:
     """Percentiles of cumulative histograms (`le`, count): one row per label values and point.
 
     The first bucket that holds the target share, linearly interpolated from the bucket
-    below; 0 for an empty histogram.  In the last, unbounded bucket it is the highest
-    finite bound.  A histogram has a dozen buckets, so its window is small.
+    below; 0 for an empty histogram.  In the last, unbounded bucket it is `unbounded`, or the
+    highest finite bound if that is None.  A histogram has a dozen buckets, so its window is small.
     """
     rising = W.partitionBy(*labels).orderBy("le")
     everything = W.partitionBy(*labels)
@@ -77,7 +77,7 @@ def percentiles(
     value = F.when(
         finite & (inside > 0),
         F.col("_low") + (target - F.col("_below")) / inside * (F.col("le") - F.col("_low")),
-    ).otherwise(F.when(finite, F.col("le")).otherwise(F.col("_low")))
+    ).otherwise(F.when(finite, F.col("le")).otherwise(F.col("_low") if unbounded is None else F.lit(unbounded)))
     first = F.min_by(value, F.when(F.col(count) >= target, F.col("le")))
     return rows.groupBy(*labels, "p").agg(
         F.when(F.max("_all") > 0, first).otherwise(F.lit(0.0)).alias("value")
@@ -98,34 +98,48 @@ def sampled_gauge(
 def parse_pages(df: DataFrame, page: Sequence[str], text: str = "text") -> DataFrame:
     """Samples of metric text pages, in order (`pos`), with the latest HELP and TYPE above them.
 
-    Comments, lines with a timestamp and lines that do not parse are skipped.
+    Comments, lines with a timestamp and lines that do not parse are skipped.  Escapes in label
+    values are undone.
     """
     lines = df.select(*page, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw")).withColumn(
         "line", F.trim("raw")
     )
 
-    def taken(pattern, group):
-        return F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, group))
-
+    # A comment that tells something has four words: the mark, HELP or TYPE, a name, the rest.
+    words = F.split("line", "[ \\t]+", 4)
+    told = lambda kind: F.when(
+        (words[0] == "#") & (words[1] == kind) & (F.size(words) == 4), words[3]
+    )
     above = W.partitionBy(*page).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = F.regexp_extract("line", _LINE, 3)
+    sign = F.when(found.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    bare = F.lower(F.regexp_replace(found, "^[+-]", ""))
+    value = (
+        F.when(bare == "nan", F.lit(float("nan")))
+        .when(bare.isin("inf", "infinity"), sign * F.lit(float("inf")))
+        .when(bare.rlike("^[0-9.]"), found.try_cast("double"))
+    )
     lines = (
-        lines.withColumn("help", F.coalesce(F.last(taken(HELP_LINE, 2), True).over(above), F.lit("")))
-        .withColumn("type", F.coalesce(F.last(taken(TYPE_LINE, 2), True).over(above), F.lit("")))
-        .where(~F.col("line").startswith("#") & F.col("line").rlike(SAMPLE_LINE))
+        lines.withColumn("help", F.coalesce(F.last(told("HELP"), True).over(above), F.lit("")))
+        .withColumn("type", F.coalesce(F.last(told("TYPE"), True).over(above), F.lit("")))
+        .where(~F.col("line").startswith("#") & F.col("line").rlike(_LINE))
+        .withColumn("value", value)
+        .where(F.col("value").isNotNull())
     )
-    found = F.regexp_extract("line", SAMPLE_LINE, 3)
-    value = (
-        F.when(found == "NaN", F.lit(float("nan")))
-        .when(found.isin("Inf", "+Inf"), F.lit(float("inf")))
-        .when(found == "-Inf", F.lit(float("-inf")))
-        .otherwise(found.try_cast("double"))
+    label_text = F.regexp_extract("line", _LINE, 2)
+    names = F.regexp_extract_all(label_text, F.lit(_LABEL_PARTS), F.lit(1))
+    # In label values, a backslash escapes itself, a quote, and n for a new line.
+    raw = F.regexp_extract_all(label_text, F.lit(_LABEL_PARTS), F.lit(2))
+    values = F.transform(
+        raw,
+        lambda v: F.when(
+            v.contains("\\"),
+            F.translate(F.replace(F.replace(F.replace(v, F.lit("\\\\"), F.lit("\0")), F.lit("\\n"), F.lit("\n")), F.lit("\\"), F.lit("")), "\0", "\\"),
+        ).otherwise(v),
     )
-    label_text = F.regexp_extract("line", SAMPLE_LINE, 2)
-    names = F.regexp_extract_all(label_text, F.lit(LABEL), F.lit(1))
-    values = F.regexp_extract_all(label_text, F.lit(LABEL), F.lit(2))
     return lines.select(
-        *page, "pos", F.regexp_extract("line", SAMPLE_LINE, 1).alias("name"),
-        wal.row_image(names, values).alias("labels"), value.alias("value"), "help", "type",
+        *page, "pos", F.regexp_extract("line", _LINE, 1).alias("name"),
+        wal.row_image(names, values).alias("labels"), "value", "help", "type",
     )
 
 
@@ -194,6 +208,14 @@ def range_rate(
     (eval - range, eval], where a drop means a restart from 0, over the time between the
     first and the last of them.  A range with fewer than two samples has no rate.
     """
+    risen = _range_rise(samples, series, range_ms, step_ms, time)
+    return risen.select(*series, "eval_ms", (F.col("rise") / (F.col("span_ms") / 1000)).alias("rate"))
+
+
+def _range_rise(
+    samples: DataFrame, series: Sequence[str], range_ms: int, step_ms: int, time: str = "scrape_ms"
+) -> DataFrame:
+    """What `range_rate` divides: `rise` over `span_ms`."""
     w = W.partitionBy(*series).orderBy(time)
     before, at = F.lag("value").over(w), F.lag(time).over(w)
     rise = F.when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
@@ -203,8 +225,9 @@ def range_rate(
     first = F.ceil(F.col(time) / step) * step
     last = F.ceil((F.col("_from") + range_ms) / step) * step - step
     spread = changes.where(last >= first).withColumn("eval_ms", F.explode(F.sequence(first, last, step.cast("bigint"))))
-    seconds = (F.max(time) - F.min("_from")) / 1000
-    return spread.groupBy(*series, "eval_ms").agg((F.sum("_rise") / seconds).alias("rate"))
+    return spread.groupBy(*series, "eval_ms").agg(
+        F.sum("_rise").alias("rise"), (F.max(time) - F.min("_from")).alias("span_ms")
+    )
 
 
 def quantile_over_rate(
@@ -214,9 +237,18 @@ def quantile_over_rate(
     step_ms: int,
     points: Sequence[float] = PERCENTILES,
 ) -> DataFrame:
-    """Percentiles of a histogram over the trailing range: bucket rates summed by bound over all series."""
-    rates = range_rate(bucket_samples, [*series, "le"], range_ms, step_ms)
-    summed = rates.groupBy("eval_ms", "le").agg(F.sum("rate").alias("count"))
+    """Percentiles of a histogram over the trailing range: bucket rates summed by bound over all series.
+
+    A series' rate is rounded to a whole number of 10**-9 per second.  Sums of whole numbers
+    don't depend on their order, and buckets stay cumulative, so a share that meets a bound
+    exactly does so in every run.
+    """
+    risen = _range_rise(bucket_samples, [*series, "le"], range_ms, step_ms)
+    whole = F.expr(
+        "(cast(rise AS DECIMAL(20, 0)) * cast(1000000000000 AS DECIMAL(13, 0)) + cast(span_ms div 2 AS DECIMAL(20, 0)))"
+        " div cast(span_ms AS DECIMAL(20, 0))"
+    )
+    summed = risen.withColumn("rate", whole).groupBy("eval_ms", "le").agg(F.sum("rate").alias("count"))
     return percentiles(summed, ["eval_ms"], points)
 
 

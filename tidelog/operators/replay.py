@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.operators import segments
-from tidelog.operators.lookup import BROADCAST_ROWS, bounded_rows, checked_broadcast
+from tidelog.session import cut_lineage
 
 # Routing, validation and retry limits.
 HOT_THRESHOLD_MS = 3_600_000
@@ -110,7 +110,7 @@ def archive_bounds(
     time_col: str = "publish_ms",
 ) -> DataFrame:
     """`frontier` and `stop` per partition: the first row past `end_ms` ends its partition."""
-    frontier = checked_broadcast(archive_frontier(df, start_ms, checkpoint, time_col))
+    frontier = archive_frontier(df, start_ms, checkpoint, time_col)
     past_end = df.where(F.col(time_col) > end_ms).select("part", "off")
     stops = (
         past_end.join(frontier, "part")
@@ -139,20 +139,15 @@ def archive_range(
     """
     if strict:
         return df.where(F.col(time_col).between(start_ms, end_ms))
-    bounds = archive_bounds(df, start_ms, end_ms, checkpoint, time_col)
-    rows = bounded_rows(bounds)
-    inside = (F.col("off") >= F.col("frontier")) & (F.col("off") < F.col("stop"))
-    if rows is None:
-        return df.join(bounds, "part").where(inside).drop("frontier", "stop")
-    live = [r for r in rows if r["frontier"] < r["stop"]]
-    if not live:
+    # One row per partition, written once: it is read for the overall range and for the join.
+    bounds = cut_lineage(archive_bounds(df, start_ms, end_ms, checkpoint, time_col).where("frontier < stop"))
+    low, high = bounds.agg(F.min("frontier"), F.max("stop")).first()
+    if low is None:
         return df.limit(0)
     # A plain range the scan can prune with, then the exact bound of each partition.
-    pruned = df.where(
-        F.col("off").between(min(r["frontier"] for r in live), max(r["stop"] for r in live) - 1)
-    )
-    small = F.broadcast(df.sparkSession.createDataFrame(live, bounds.schema))
-    return pruned.join(small, "part").where(inside).drop("frontier", "stop")
+    pruned = df.where(F.col("off").between(low, high - 1))
+    inside = (F.col("off") >= F.col("frontier")) & (F.col("off") < F.col("stop"))
+    return pruned.join(bounds, "part").where(inside).drop("frontier", "stop")
 
 
 def checkpoint_advance(df: DataFrame, job: str = "job_id", order: str = "seq") -> DataFrame:
@@ -237,7 +232,7 @@ def schedule(
     and is released with the latest due time so far.
     """
     first = df.groupBy(*jobs).agg(F.min_by(time_col, order).alias("_first"))
-    anchored = df.join(checked_broadcast(first), jobs)
+    anchored = df.join(first, jobs)
     due = F.lit(float(start_at_ms)) + (F.col(time_col) - F.col("_first")) / speed
     rows = anchored.withColumn("due_ms", due).drop("_first")
     released = segments.running_max(
@@ -262,7 +257,8 @@ def fold_retries(df: DataFrame, events: list[str], max_retries: int = MAX_RETRIE
     """One row per event from its attempt log (`attempt`, `ok`, `dup`).
 
     The first attempt that succeeds or finds a duplicate decides; later ones never
-    happened.  The wait is the backoff after every failed attempt but the last allowed.
+    happened.  The wait is the backoff after every failed attempt but the last one made.
+    An event whose log ends before it is decided (its job was stopped) is not `finished`.
     """
     allowed = max(0, max_retries) + 1
     done = F.col("ok") | F.col("dup")
@@ -271,9 +267,10 @@ def fold_retries(df: DataFrame, events: list[str], max_retries: int = MAX_RETRIE
         .groupBy(*events)
         .agg(
             F.min(F.when(done, F.struct("attempt", "ok", "dup"))).alias("_won"),
+            F.max("attempt").alias("_made"),
         )
     )
-    made = F.coalesce(F.col("_won.attempt"), F.lit(allowed))
+    made = F.coalesce(F.col("_won.attempt"), F.col("_made"))
     waits = F.aggregate(
         F.filter(F.sequence(F.lit(1), F.lit(allowed)), lambda n: n < made),
         F.lit(0.0),
@@ -285,6 +282,7 @@ def fold_retries(df: DataFrame, events: list[str], max_retries: int = MAX_RETRIE
         F.coalesce(F.col("_won.ok"), F.lit(False)).alias("success"),
         F.coalesce(F.col("_won.dup"), F.lit(False)).alias("was_duplicate"),
         waits.alias("backoff_s"),
+        (F.col("_won").isNotNull() | (F.col("_made") >= allowed)).alias("finished"),
     )
 
 
@@ -292,7 +290,7 @@ def fail_fast(df: DataFrame, failed: Column, job: str = "job_id", order: str = "
     """Rows before the first failed one of their job: what was applied and may be checkpointed."""
     first_failure = df.where(failed).groupBy(job).agg(F.min(order).alias("_fail"))
     return (
-        df.join(checked_broadcast(first_failure), job, "left")
+        df.join(first_failure, job, "left")
         .where(F.col("_fail").isNull() | (F.col(order) < F.col("_fail")))
         .drop("_fail")
     )
@@ -317,7 +315,7 @@ def run_summary(df: DataFrame, job: str = "job_id", order: str = "seq") -> DataF
         return F.count(F.when(reached & condition, F.lit(1)))
 
     counted = (
-        df.join(checked_broadcast(first_failure), job, "left")
+        df.join(first_failure, job, "left")
         .groupBy(job)
         .agg(
             F.count(F.lit(1)).alias("total"),

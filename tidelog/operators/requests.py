@@ -93,7 +93,7 @@ def rate_limit(
 
     limited = df.withColumn(client, F.coalesce(client, F.lit("unknown")))
     for prefix in EXEMPT:
-        limited = limited.where(~F.col("path").startswith(prefix))
+        limited = limited.where(~F.coalesce("path", F.lit("")).startswith(prefix))
     # Both are written once, as every step below reads them more than once.
     ticks = cut_lineage(limited.groupBy(client, time).agg(F.count(F.lit(1)).alias("n")))
     ticks = segments.previous(ticks, [client], time, F.col(time), "_before")

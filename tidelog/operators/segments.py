@@ -35,7 +35,13 @@ def _inherit(df: DataFrame, keys: Sequence[str], width: int, order: str, per_seg
     summary = rows.groupBy(*by).agg(per_segment.alias("_part"))
     earlier = W.partitionBy(*keys).orderBy(_SEG).rowsBetween(W.unboundedPreceding, -1)
     carry = summary.select(*by, inherited(F.col("_part"), earlier).alias("_carry"))
-    return rows.join(carry, by), W.partitionBy(*by).orderBy(order)
+    # Rows with a NULL key are a key of their own, as in any grouping.
+    names = {c: f"_carry_{n}" for n, c in enumerate(by)}
+    carry = carry.select(*[F.col(c).alias(n) for c, n in names.items()], "_carry")
+    same = F.col(_SEG) == F.col(names[_SEG])
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(names[key]))
+    return rows.join(carry, same).drop(*names.values()), W.partitionBy(*by).orderBy(order)
 
 
 def running_count(

@@ -180,7 +180,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hot_buffer(spark: SparkSession, sf_dir: str, size: int = 5000) -> DataFrame:
+def hot_buffer(spark: SparkSession, sf_dir: str, size: int = 100_000) -> DataFrame:
     """The newest changes with their buffer entry id (`stream_ms`, `stream_seq`)."""
     newest = segments.newest(flat_changes(spark, sf_dir), size, "seq")
     same_ms = W.partitionBy("publish_ms").orderBy("seq")
@@ -294,7 +294,7 @@ decoded AS (
     CASE WHEN g.operation IN ('UPDATE', 'DELETE') THEN CAST(g.id AS VARCHAR) END AS old_id
   FROM grouped g JOIN changes f ON f.seq = g.first_seq
   WHERE g.grp % 101 <> 0)""",
-    "hot": """newest AS (SELECT * FROM changes ORDER BY seq DESC LIMIT 5000),
+    "hot": """newest AS (SELECT * FROM changes ORDER BY seq DESC LIMIT 100000),
 hot AS (
   SELECT *, publish_ms AS stream_ms,
     CAST(row_number() OVER (PARTITION BY publish_ms ORDER BY seq) - 1 AS BIGINT) AS stream_seq

@@ -139,7 +139,7 @@ def archive_layout(spark, sf_dir):
 
 @query(
     "hot_buffer",
-    d.with_ctes("changes") + "SELECT seq, tbl, operation, publish_ms FROM changes ORDER BY seq DESC LIMIT 5000",
+    d.with_ctes("changes") + "SELECT seq, tbl, operation, publish_ms FROM changes ORDER BY seq DESC LIMIT 100000",
 )
 def hot_buffer(spark, sf_dir):
-    return layout.retain_newest(d.flat_changes(spark, sf_dir), 5000).select("seq", "tbl", "operation", "publish_ms")
+    return layout.retain_newest(d.flat_changes(spark, sf_dir), 100_000).select("seq", "tbl", "operation", "publish_ms")

@@ -151,11 +151,11 @@ def _bounds(buckets) -> str:
     return ", ".join(f"({b}::DOUBLE)" for b in buckets) + ", ('inf'::DOUBLE)"
 
 
-def percentile_sql(source: str, label: str, points: str) -> str:
-    """Percentiles of the cumulative buckets (label, le, n) in `source`."""
+def percentile_sql(source: str, label: str, points: str, last: str = "low") -> str:
+    """Percentiles of the cumulative buckets (label, le, n) in `source`; `last` in the unbounded one."""
     return f"""SELECT {label}, p, CASE WHEN max(total) > 0 THEN arg_min(val, le) FILTER (n >= total * p) ELSE 0.0 END AS value FROM (
   SELECT *, CASE WHEN le <> 'inf'::DOUBLE AND n > below THEN low + (total * p - below) / (n - below) * (le - low)
-      WHEN le <> 'inf'::DOUBLE THEN le ELSE low END AS val FROM (
+      WHEN le <> 'inf'::DOUBLE THEN le ELSE {last} END AS val FROM (
     SELECT {label}, le, n, coalesce(lag(le) OVER (PARTITION BY {label} ORDER BY le), 0.0::DOUBLE) AS low,
       coalesce(lag(n) OVER (PARTITION BY {label} ORDER BY le), 0) AS below, max(n) OVER (PARTITION BY {label}) AS total
     FROM {source}) CROSS JOIN (VALUES {points}) t(p)) GROUP BY {label}, p"""
@@ -205,11 +205,11 @@ health AS (SELECT (r.slot + 1) * {SLOT_MS} AS eval_ms, r.slot % 96 AS s, r.slot,
   SELECT eval_ms, 'IngestorStalled' AS alert, 'critical' AS severity, 'ingestor' AS component, ingest_rate AS value, 60 AS hold_min
     FROM health WHERE ingest_rate = 0
   UNION ALL SELECT eval_ms, 'HighIngestLatency', 'warning', 'ingestor', ingest_p99, 60 FROM health WHERE ingest_p99 > 1
-  UNION ALL SELECT eval_ms, 'HotBufferNearCapacity', 'warning', 'hot_buffer', 85000 + s * 100, 24 FROM health WHERE s > 50
+  UNION ALL SELECT eval_ms, 'RedisStreamNearCapacity', 'warning', 'redis', 85000 + s * 100, 24 FROM health WHERE s > 50
   UNION ALL SELECT eval_ms, 'ReplayerStalled', 'critical', 'replayer', replay_rate, 120 FROM health WHERE replay_rate = 0 AND s < 80
   UNION ALL SELECT eval_ms, 'ReplayerHighFailureRate', 'warning', 'replayer', failure_share, 60 FROM health WHERE failure_share > 0.05::DOUBLE
   UNION ALL SELECT eval_ms, 'HighReplayLatency', 'warning', 'replayer', replay_p99, 60 FROM health WHERE replay_p99 > 0.5::DOUBLE
-  UNION ALL SELECT eval_ms, 'ArchiveConsumerLagCritical', 'critical', 'archive', s * 150, 60 FROM health WHERE s * 150 > 10000
+  UNION ALL SELECT eval_ms, 'KafkaConsumerLagCritical', 'critical', 'kafka', s * 150, 60 FROM health WHERE s * 150 > 10000
   UNION ALL SELECT eval_ms, 'JobLeaseExpiredWithRunningState', 'warning', 'jobs', 1, 12 FROM health WHERE s BETWEEN 33 AND 35
   UNION ALL SELECT eval_ms, 'ControlPlaneDown', 'critical', 'control', 0, 24 FROM health WHERE slot % 48 BETWEEN 5 AND 8)""",
     "firing": f"""firing AS (SELECT * FROM (SELECT *, min(eval_ms) OVER (PARTITION BY alert, run) AS active_ms FROM (

@@ -59,10 +59,10 @@ def latency_histogram(spark, sf_dir):
 
 @query(
     "histogram_percentiles",
-    f"{_HISTOGRAM.rstrip()},\npct AS ({m.percentile_sql('hist', 'part', '(0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)')}) SELECT part, p, round(value, 9) AS value FROM pct",
+    f"{_HISTOGRAM.rstrip()},\npct AS ({m.percentile_sql('hist', 'part', '(0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)', last="'inf'::DOUBLE")}) SELECT part, p, round(value, 9) AS value FROM pct",
 )
 def histogram_percentiles(spark, sf_dir):
-    found = metrics.percentiles(_histogram(spark, sf_dir), ["part"])
+    found = metrics.percentiles(_histogram(spark, sf_dir), ["part"], unbounded=float("inf"))
     return found.select("part", "p", F.round("value", 9).alias("value"))
 
 
@@ -199,7 +199,11 @@ def buffer_utilisation(spark, sf_dir):
 
 
 def _range_rate_sql(source: str, series: str) -> str:
-    return f"""SELECT {series}, e.eval_ms, CAST(sum(rise) AS BIGINT) / ((max(scrape_ms) - min(prev_ms)) / 1000) AS rate FROM (
+    return f"SELECT {series}, eval_ms, rise::BIGINT / (span_ms / 1000) AS rate FROM ({_range_rise_sql(source, series)})"
+
+
+def _range_rise_sql(source: str, series: str) -> str:
+    return f"""SELECT {series}, e.eval_ms, sum(rise)::HUGEINT AS rise, max(scrape_ms) - min(prev_ms) AS span_ms FROM (
   SELECT *, lag(scrape_ms) OVER w AS prev_ms, CASE WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END AS rise
   FROM {source} WINDOW w AS (PARTITION BY {series} ORDER BY scrape_ms)) c
 JOIN (SELECT unnest(range((SELECT min(scrape_ms) // {STEP_MS} * {STEP_MS} FROM {source}),
@@ -217,8 +221,8 @@ def range_rate(spark, sf_dir):
     "quantile_over_rate",
     m.with_ctes("slotted", "slots", "bucket_samples").rstrip()
     + f""",
-rates AS ({_range_rate_sql("bucket_samples", "part, le")}),
-summed AS (SELECT eval_ms, le, sum(rate) AS n FROM rates GROUP BY eval_ms, le),
+rises AS ({_range_rise_sql("bucket_samples", "part, le")}),
+summed AS (SELECT eval_ms, le, CAST(sum((rise * 1000000000000 + span_ms // 2) // span_ms) AS BIGINT) AS n FROM rises GROUP BY eval_ms, le),
 pct AS ({m.percentile_sql("summed", "eval_ms", "(0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)")})
 SELECT eval_ms, p, round(value, 6) AS value FROM pct""",
 )

@@ -195,7 +195,7 @@ fails AS (SELECT job_id, min(seq) AS fail_seq FROM folded WHERE NOT success GROU
 
 def _folded(spark, sf_dir):
     log = d.attempts(spark, sf_dir).withColumnRenamed("part", "job_id")
-    return replay.fold_retries(log, ["job_id", "seq"])
+    return replay.fold_retries(log, ["job_id", "seq"]).drop("finished")
 
 
 def _folded_once(spark, sf_dir):

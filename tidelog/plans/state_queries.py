@@ -74,8 +74,9 @@ def ledger_upsert(spark, sf_dir):
 WHERE idempotency_key NOT IN (SELECT idempotency_key FROM ledger) GROUP BY idempotency_key""",
 )
 def check_and_mark(spark, sf_dir):
-    rows = d.deliveries(spark, sf_dir).select("idempotency_key", "delivered_ms", "delivery")
-    return dedup.check_and_mark(rows, d.ledger(spark, sf_dir), ["delivered_ms", "delivery"]).drop("delivered_ms")
+    rows = d.deliveries(spark, sf_dir).select("idempotency_key", "delivered_ms", "delivery", "old", "new")
+    marked = dedup.check_and_mark(rows, d.ledger(spark, sf_dir), ["delivered_ms", "delivery"])
+    return marked.select("idempotency_key", "delivery")
 
 
 @query(
@@ -206,9 +207,9 @@ _DEDUPED = "SELECT DISTINCT seq, tbl, operation, id, amt, kind FROM deliveries"
 def apply_changes(spark, sf_dir):
     """The flagship: redelivered changes are dropped, the rest is applied in log order."""
     delivered = d.deliveries(spark, sf_dir).select("idempotency_key", "seq", "tbl", "operation", "old", "new")
-    # The images are functions of the key, so they need not be carried through the aggregation.
-    first = delivered.dropDuplicates(["idempotency_key"])
-    return apply.apply_log(first, TARGET, raw_log=d.flat_changes(spark, sf_dir))
+    # The content key alone would merge two equal changes of one payload.
+    first = delivered.dropDuplicates(["idempotency_key", "seq"])
+    return apply.apply_log(first, TARGET, raw_log=delivered)
 
 
 @query(
