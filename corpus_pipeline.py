@@ -24,11 +24,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages of lines; documents of which nothing is left go."""
-    out = line_dedup.dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
+    # Any further columns wait under other names while the added ones are there.
+    added = {c: c + "_of_input" for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(added)).where("n_removed = 0 OR n_removed < n_lines")
     if "n_chars" in docs.columns:
         own = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", own.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(added.get(c, c)).alias(c) for c in docs.columns])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import RangeHash, mixed, slices, utf8
-from .steps import text_key, written
+from .steps import text_key, unused, written
 from .words import ranges, table
 
 #: Bits of the table that tells which shingles are looked for: 2**24, whatever the benchmark's size.
@@ -229,9 +229,9 @@ def contamination(
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of `docs` in which no window of an item occurs."""
+    doc, key, own = unused(docs, "_doc", "_key", "_own")
     marked = contamination(docs, items, text=text, **options).where("n_hit > 0").select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")
+        F.col("doc_id").alias(doc), F.col("text_key").alias(key)
     )
-    keyed = docs.withColumn("_own", text_key(text))
-    condition = keyed["doc_id"].eqNullSafe(marked["_doc"]) & (keyed["_own"] == marked["_key"])
-    return keyed.join(marked, condition, "left_anti").drop("_own")
+    condition = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key))
+    return docs.withColumn(own, text_key(text)).join(marked, condition, "left_anti").select(*docs.columns)

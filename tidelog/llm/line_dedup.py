@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .steps import text_key, written
+from .steps import text_key, unused, written
 
 
 def _windows(lines: Column, width: int) -> Column:
@@ -52,18 +52,21 @@ def dedup_lines(docs: DataFrame, text: str = "text", width: int = 3) -> DataFram
     lines have no window and stay, as do null texts (`n_lines` 0).  First occurrence: smallest
     `doc_id` (null first), then text hash, then position.  Rows equal in `doc_id` and text are
     one document, so each of them has the same result.  An empty table gives an empty one.
+    Columns of `docs` named like the added ones are replaced.
     """
-    covered = removed_windows(docs, text, width).select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("covered").alias("_covered")
+    doc, key, covered, own, lines, kept = unused(docs, "_doc", "_key", "_covered", "_own", "_lines", "_kept")
+    removed = removed_windows(docs, text, width).select(
+        F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("covered").alias(covered)
     )
-    keyed = docs.withColumn("_own", text_key(text))
-    joined = keyed.join(covered, keyed["doc_id"].eqNullSafe(covered["_doc"]) & (keyed["_own"] == covered["_key"]), "left")
-    hit = F.col("_covered").isNotNull()
-    joined = joined.withColumn("_lines", F.split(F.col(text), "\n", -1))
-    joined = joined.withColumn("_kept", F.when(hit, _kept(F.col("_lines"), F.col("_covered"), width)))
-    total = F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines"))
+    condition = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key))
+    joined = docs.withColumn(own, text_key(text)).join(removed, condition, "left")
+    hit = F.col(covered).isNotNull()
+    joined = joined.withColumn(lines, F.split(F.col(text), "\n", -1))
+    joined = joined.withColumn(kept, F.when(hit, _kept(F.col(lines), F.col(covered), width)))
+    total = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
+    rest = F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text)
+    counts = {"n_lines": total, "n_removed": F.when(hit, total - F.size(kept)).otherwise(0)}
     return joined.select(
-        *[F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col(c)).alias(c) if c == text else joined[c] for c in docs.columns],
-        total.cast("long").alias("n_lines"),
-        F.when(hit, total - F.size("_kept")).otherwise(0).cast("long").alias("n_removed"),
+        *[rest if c == text else F.col(c) for c in docs.columns if c.lower() not in counts],
+        *[n.cast("long").alias(name) for name, n in counts.items()],
     )

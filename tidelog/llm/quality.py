@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import RangeHash, slices, utf8
-from .steps import text_key, written
+from .steps import text_key, unused, written
 from .words import ranges
 
 #: Random features.
@@ -269,6 +269,6 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.7, text: str = "
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of `docs` whose text is predicted good."""
-    rejected = classify(docs, labels, cut, text).where("predicted = 0").select("text_key").distinct()
-    keyed = docs.withColumn("_own", text_key(text))
-    return keyed.join(rejected, F.col("_own") == F.col("text_key"), "left_anti").drop("_own")
+    [own] = unused(docs, "_own")
+    rejected = classify(docs, labels, cut, text).where("predicted = 0").select(F.col("text_key").alias(own)).distinct()
+    return docs.withColumn(own, text_key(text)).join(rejected, own, "left_anti").select(*docs.columns)

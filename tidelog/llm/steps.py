@@ -1,15 +1,10 @@
-"""Steps written between jobs, document keys, and Python kernels over Arrow batches."""
+"""Steps written between jobs, document keys, and names for added columns."""
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..session import cut_lineage
 
@@ -32,20 +27,11 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
-def kernel(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """`mapInArrow` with `fn` giving the columns of `schema` for each batch."""
-    parsed = StructType.fromDDL(schema)
-    arrow = to_arrow_schema(parsed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = fn(batch)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    columns[f.name] if isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(columns[f.name], f.type)
-                    for f in arrow
-                ],
-                schema=arrow,
-            )
-
-    return df.mapInArrow(run, schema)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each lengthened until no column of `df` has it (whatever its case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
