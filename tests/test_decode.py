@@ -116,18 +116,18 @@ def test_envelope_defaults(spark):
 def test_keys(spark):
     import hashlib
 
-    row = [("0/AABB", "public.users", "DELETE", {"id": "42"}, {}), ("0/CCDD", "public.order_items", "INSERT", {}, {"b": "20", "a": "10"})]
+    row = [("7/1F0", "shop.visits", "DELETE", {"id": "9007"}, {}), ("7/2E8", "shop.basket_lines", "INSERT", {}, {"b": "x9", "a": "k3"})]
     df = spark.createDataFrame(row, "lsn string, tbl string, operation string, old map<string,string>, new map<string,string>")
     c = [F.col(x) for x in ("lsn", "tbl", "operation", "old", "new")]
     pk = [r[0] for r in df.select(keys.primary_key(*c, ["id"])).collect()]
-    assert pk == ["0/AABB:public.users:42", "0/CCDD:public.order_items:"]
+    assert pk == ["7/1F0:shop.visits:9007", "7/2E8:shop.basket_lines:"]
     two = [r[0] for r in df.select(keys.primary_key(*c, ["a", "b"])).collect()]
-    assert two[1] == "0/CCDD:public.order_items:10:20"
+    assert two[1] == "7/2E8:shop.basket_lines:k3:x9"
     content = [r[0] for r in df.select(keys.content_key(c[0], c[1], c[3], c[4])).collect()]
     for known in (["a", "b"], ["b", "id", "a", "zz"], ["a"], ["id"]):
         assert [r[0] for r in df.select(keys.content_key(c[0], c[1], c[3], c[4], known)).collect()] == content
-    md5 = hashlib.md5(b"a=10:b=20").hexdigest()[:16]
-    assert content[1] == f"0/CCDD:public.order_items:{md5}"
+    md5 = hashlib.md5(b"a=k3:b=x9").hexdigest()[:16]
+    assert content[1] == f"7/2E8:shop.basket_lines:{md5}"
 
 
 def test_schema_guard(spark):
