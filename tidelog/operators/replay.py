@@ -199,6 +199,7 @@ def route(df: DataFrame, threshold_ms: int = HOT_THRESHOLD_MS) -> DataFrame:
 def validate(df: DataFrame) -> DataFrame:
     """Add `violations`, the list of rules a replay request breaks."""
     low, high = SPEED_RANGE
+    # The messages.
     rules = [
         (~(F.col("end_ms") > F.col("start_ms")), "end_time must be after start_time"),
         (~F.col("speed").between(low, high), "speed_factor out of range"),
