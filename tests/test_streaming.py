@@ -46,7 +46,7 @@ def test_fan_out_replaces_a_rerun_batch(spark, tmp_path):
         assert sorted(r.id for r in capture.committed(spark, f"{tmp_path}/{name}").collect()) == list(range(15))
 
 
-def test_quarantine_and_tail(spark, tmp_path):
+def test_quarantine(spark, tmp_path):
     seen = []
     sink = capture.quarantine_to(f"{tmp_path}/bad", lambda df, n: seen.extend(r.operation for r in df.collect()))
     batch = spark.createDataFrame(
@@ -55,9 +55,15 @@ def test_quarantine_and_tail(spark, tmp_path):
     sink(batch, 0)
     assert seen == ["INSERT"]
     assert [r.lsn for r in spark.read.parquet(f"{tmp_path}/bad/batch=0").collect()] == ["2"]
-    chunks = []
-    capture.tail(lambda df, n: chunks.extend((r.id, r.chunk) for r in df.collect()), 10, "id")(spark.range(25), 0)
-    assert sorted(chunks) == [(i, i // 10) for i in range(25)]
+
+
+def test_tail_chunks_run_on_over_batches(spark, tmp_path):
+    sink = capture.tail(f"{tmp_path}/tail", f"{tmp_path}/counted", 10, "id")
+    for n, (low, high) in enumerate([(0, 25), (25, 25), (25, 38), (38, 40)]):
+        sink(spark.range(low, high), n)
+        sink(spark.range(low, high), n)  # a batch run again after a crash
+    got = [(r.id, r.chunk) for r in capture.committed(spark, f"{tmp_path}/tail").collect()]
+    assert sorted(got) == [(i, i // 10) for i in range(40)]
 
 
 def test_target_matches_fold_with_compaction_and_rerun(spark, tmp_path):

@@ -10,7 +10,7 @@ adaptive execution to split a skewed left side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidelog.operators.apply import apply_status
 from tidelog.session import cut_lineage
@@ -54,33 +54,60 @@ def check_and_mark(df: DataFrame, ledger: DataFrame, order: list[str]) -> DataFr
 
 
 def dedup_by_ttl(
-    df: DataFrame, time: str, order: str, ttl_ms: int = TTL_MS, key: str = KEY
+    df: DataFrame, time: str, order: str, ttl_ms: int = TTL_MS, key: str = KEY, slices: int = 1024
 ) -> DataFrame:
-    """The deliveries that are applied: `key`, `time`, `order`.
+    """The deliveries that are applied: `key`, `time` (epoch ms), `order`.
 
     A delivery is a duplicate iff it comes less than `ttl_ms` after the last *applied*
-    one of its key; at exactly `ttl_ms` it is applied again.  Round r finds the r-th
-    applied delivery of every key at once, as the earliest one at or after the expiry
-    of the one before.  A key leaves when nothing is left past its expiry, and there
-    are at most span / ttl + 1 rounds; no key is ever collected into one task.
+    one of its key; at exactly `ttl_ms` it is applied again.  Of several at one instant the
+    least `order` counts.  A row without key or time is a delivery of nothing and not in the result.
+
+    Every delivery points to the first one at or after its own expiry; the applied ones are
+    those a key's first delivery leads to.  Pointers are doubled, so a chain of n takes
+    log2(n) rounds, and after k rounds only deliveries with 2^k more to come are left.
     """
     # Written once: the key is computed from whole row images and is read several times.
-    rows = cut_lineage(df.select(key, time, order))
-    kept = None
-    while True:
-        per_key = rows.groupBy(key).agg(
-            F.min(F.struct(time, order)).alias("_first"), F.max(time).alias("_last")
-        )
-        applied = per_key.select(key, F.col(f"_first.{time}").alias(time), F.col(f"_first.{order}").alias(order))
-        kept = applied if kept is None else kept.unionByName(applied)
-        expiry = (F.col(f"_first.{time}") + ttl_ms).alias("_expiry")
-        # Only keys that were seen again past their expiry go on.
-        again = per_key.where(F.col("_last") >= expiry).select(key, expiry)
-        rows = cut_lineage(
-            rows.join(again, key).where(F.col(time) >= F.col("_expiry")).select(key, time, order)
-        )
-        if rows.isEmpty():
-            return kept
+    known = F.col(key).isNotNull() & F.col(time).isNotNull()
+    instants = cut_lineage(df.where(known).groupBy(key, time).agg(F.min(order).alias(order)))
+    jumps = cut_lineage(_next_after_expiry(instants.select(key, F.col(time).alias("_at")), ttl_ms, key, slices))
+    reached = instants.groupBy(key).agg(F.min(time).alias("_from"))
+    while not jumps.isEmpty():
+        ahead = reached.join(jumps, [key, "_from"]).select(key, F.col("_to").alias("_from"))
+        reached = cut_lineage(reached.union(ahead))
+        rest = jumps.select(key, F.col("_from").alias("_to"), F.col("_to").alias("_end"))
+        jumps = cut_lineage(jumps.join(rest, [key, "_to"]).select(key, "_from", F.col("_end").alias("_to")))
+    return instants.join(reached.withColumnRenamed("_from", time), [key, time]).select(key, time, order)
+
+
+def _next_after_expiry(instants: DataFrame, ttl_ms: int, key: str, slices: int) -> DataFrame:
+    """`_from` and `_to` of a key: an instant, and the key's first one at least `ttl_ms` later.
+
+    A key's time is cut into slices of ttl / `slices`, each looked at by itself, with the
+    first instant behind the slice put at its end.  So a task holds the instants of one
+    slice, or one row per slice of a key, however many deliveries the key has.
+    """
+    width = max(1, -(-ttl_ms // slices))
+    at = F.col("_at")
+    none = F.lit(None).cast("bigint")
+    cut = F.floor(at / width)
+    starts = instants.groupBy(key, cut.alias("_slice")).agg(F.min("_at").alias("_first"))
+    # Expiries of a slice's instants fall into these two.
+    asked = starts.select(
+        key, F.explode(F.array(*[F.col("_slice") + ttl_ms // width + n for n in (0, 1)])).alias("_slice"), none.alias("_first")
+    )
+    later = W.partitionBy(key).orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    behind = (
+        starts.union(asked).groupBy(key, "_slice").agg(F.min("_first").alias("_first"))
+        .select(key, "_slice", F.min("_first").over(later).alias("_at"), none.alias("_from"))
+        .where("_at IS NOT NULL")
+    )
+    there = instants.select(key, cut.alias("_slice"), "_at", none.alias("_from"))
+    expiries = instants.select(key, at.alias("_from"), (at + ttl_ms).alias("_at")).select(key, cut.alias("_slice"), "_at", "_from")
+    # From the end of the slice back, with all rows of an instant at once.
+    back = W.partitionBy(key, "_slice").orderBy(F.desc("_at"))
+    found = F.min(F.when(F.col("_from").isNull(), at)).over(back)
+    rows = there.unionByName(behind).unionByName(expiries).withColumn("_to", found)
+    return rows.where("_from IS NOT NULL AND _to IS NOT NULL").select(key, "_from", "_to")
 
 
 def drop_expired(ledger: DataFrame, now_ms: int) -> DataFrame:

@@ -79,13 +79,26 @@ def check_and_mark(spark, sf_dir):
     return marked.select("idempotency_key", "delivery")
 
 
-@query(
-    "ttl_dedup",
-    _DELIVERIES
-    + """SELECT delivery, idempotency_key, delivered_ms FROM deliveries WHERE copy = 0 OR seq % 21 = 0""",
+# The definition itself, one delivery after the other: `last` is the last applied one.
+_TTL = (
+    "WITH RECURSIVE "
+    + d.with_ctes("changes", "redeliveries").removeprefix("WITH ").rstrip()
+    + f""",
+numbered AS (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY delivered_ms, delivery) AS n FROM redeliveries),
+walk AS (
+  SELECT idempotency_key, delivery, delivered_ms, n, delivered_ms AS last, true AS applied FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT r.idempotency_key, r.delivery, r.delivered_ms, r.n,
+    CASE WHEN r.delivered_ms >= w.last + {dedup.TTL_MS} THEN r.delivered_ms ELSE w.last END,
+    r.delivered_ms >= w.last + {dedup.TTL_MS}
+  FROM walk w JOIN numbered r ON r.idempotency_key = w.idempotency_key AND r.n = w.n + 1)
+SELECT delivery, idempotency_key, delivered_ms FROM walk WHERE applied"""
 )
+
+
+@query("ttl_dedup", _TTL)
 def ttl_dedup(spark, sf_dir):
-    kept = dedup.dedup_by_ttl(d.deliveries(spark, sf_dir), "delivered_ms", "delivery")
+    kept = dedup.dedup_by_ttl(d.redeliveries(spark, sf_dir), "delivered_ms", "delivery")
     return kept.select("delivery", "idempotency_key", "delivered_ms")
 
 

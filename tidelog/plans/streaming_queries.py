@@ -29,10 +29,16 @@ def _stream(df, path, files=_FILES):
     return logs.stream_log(df.sparkSession, path, df.schema, files_per_trigger=1)
 
 
-def _events_stream(spark, sf_dir):
-    """The given event table itself as a stream."""
-    schema = table(spark, sf_dir, "events").schema
-    return logs.stream_log(spark, sf_dir, schema, glob="events.parquet")
+def _in_order(df, path, order, batches=_FILES, files=2):
+    """`df` as a stream of `batches` micro-batches, each a stretch of `order`, `files` files wide."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    width = ((high or 0) - (low or 0)) // batches + 1
+    # Written one after the other, since a file stream follows the age of its files.
+    for n in range(batches):
+        start = (low or 0) + n * width
+        stretch = df.where(F.col(order).between(start, start + width - 1))
+        stretch.repartition(files).write.mode("append").parquet(path)
+    return logs.stream_log(df.sparkSession, path, df.schema, files_per_trigger=files)
 
 
 @query("stream_capture", ORACLES["wal_decode"])
@@ -63,7 +69,8 @@ GROUP BY ALL""",
 )
 def stream_fanout(spark, sf_dir):
     root = _folder(spark)
-    stream = d.flat_changes_of(_events_stream(spark, sf_dir)).drop("ts")
+    events = table(spark, sf_dir, "events")
+    stream = d.flat_changes_of(_in_order(events, f"{root}/events", "event_id")).drop("ts")
     hot, archive = f"{root}/hot", f"{root}/archive"
     capture.run(stream, capture.fan_out(hot, archive), f"{root}/progress").awaitTermination()
     both = capture.committed(spark, hot).withColumn("sink", F.lit("hot")).unionByName(
@@ -78,19 +85,17 @@ def stream_fanout(spark, sf_dir):
 )
 def stream_tail(spark, sf_dir):
     root = _folder(spark)
-    stream = d.flat_changes_of(_events_stream(spark, sf_dir)).select("seq", "tbl", "operation")
-    sink = capture.tail(_append_to(f"{root}/tail"))
-    capture.run(stream, sink, f"{root}/progress").awaitTermination()
+    events = _in_order(table(spark, sf_dir, "events"), f"{root}/events", "event_id")
+    stream = d.flat_changes_of(events).select("seq", "tbl", "operation")
+    capture.run(stream, capture.tail(f"{root}/tail", f"{root}/counted"), f"{root}/progress").awaitTermination()
     return capture.committed(spark, f"{root}/tail").drop("batch")
 
 
 @query("stream_dedup", ORACLES["ttl_dedup"])
 def stream_dedup(spark, sf_dir):
     root = _folder(spark)
-    rows = d.deliveries(spark, sf_dir).select(KEY, "delivered_ms", "delivery")
-    # Deliveries arrive in order of time: one range of it per file.
-    rows.repartitionByRange(_FILES, "delivered_ms").write.parquet(f"{root}/log")
-    stream = logs.stream_log(spark, f"{root}/log", rows.schema, files_per_trigger=_FILES)
+    # Deliveries arrive in order of time; most keys are seen in several micro-batches.
+    stream = _in_order(d.redeliveries(spark, sf_dir), f"{root}/log", "delivered_ms", batches=6)
     kept = dedup.dedup_stream(stream, "delivered_ms", "delivery", expire=False)
     capture.run(kept, _append_to(f"{root}/kept"), f"{root}/progress").awaitTermination()
     return capture.committed(spark, f"{root}/kept").select("delivery", KEY, "delivered_ms")
@@ -101,11 +106,6 @@ def stream_apply(spark, sf_dir):
     root = _folder(spark)
     log = d.changes(spark, sf_dir).select("seq", "tbl", "operation", "old", "new")
     target = StreamTarget(spark, f"{root}/target", state_queries.TARGET, compact_every=2)
-    # Three stretches of the log, written one after the other so that they stream in order.
-    last = log.agg(F.max("seq")).first()[0] or 0
-    for part in range(3):
-        stretch = log.where(F.expr(f"seq * 3 div {last + 1}") == part)
-        stretch.coalesce(1).write.mode("append").parquet(f"{root}/log")
-    stream = logs.stream_log(spark, f"{root}/log", log.schema, files_per_trigger=1)
+    stream = _in_order(log, f"{root}/log", "seq")
     capture.run(stream, target.write, f"{root}/progress").awaitTermination()
     return target.read()

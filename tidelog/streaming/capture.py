@@ -53,12 +53,25 @@ def run(stream: DataFrame, sink: Sink, checkpoint: str, once: bool = True) -> St
     return writer.start()
 
 
-def tail(sink: Sink, size: int = 10, order: str = "seq") -> Sink:
-    """A sink for a live tail: hands on each micro-batch with `chunk`, groups of `size` events in order."""
+def tail(path: str, progress: str, size: int = 10, order: str = "seq") -> Sink:
+    """A sink for a live tail: each micro-batch goes to `path` with `chunk`, groups of `size` events in order.
+
+    Chunks run on from batch to batch.  `progress` has one row per batch, the events up to
+    its end, so a batch run again starts where it did.
+    """
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = 0
+        if batch_id:
+            # One row; batches are numbered without gaps.
+            before = spark.read.parquet(f"{progress}/batch={batch_id - 1}").agg(F.max("events")).first()[0]
         numbered = segments.running_count(batch, [], order, "_n")
-        sink(numbered.withColumn("chunk", F.expr(f"(_n - 1) div {int(size)}")).drop("_n"), batch_id)
+        out = numbered.withColumn("chunk", F.expr(f"({int(before)} + _n - 1) div {int(size)}")).drop("_n")
+        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        written = spark.read.schema(out.schema).parquet(f"{path}/batch={batch_id}")
+        events = written.agg((F.count(F.lit(1)) + int(before)).alias("events"))
+        events.write.mode("overwrite").parquet(f"{progress}/batch={batch_id}")
 
     return run_batch
 

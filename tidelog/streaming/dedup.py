@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tidelog.operators.dedup import KEY, TTL_MS
 
@@ -15,27 +16,32 @@ def dedup_stream(
 
     The state of a key is the time of its last applied delivery.  With `expire`, state that
     no delivery has touched for twice the time to live is dropped; this needs a stream that
-    stays up, since its timers keep an `availableNow` run from ending.  A key's deliveries within one
-    micro-batch are sorted together, so the trigger's size bounds them.
+    stays up, since its timers keep an `availableNow` run from ending.  Deliveries that the
+    state already covers go as they are read; the rest of a key within one micro-batch is sorted
+    together, so the trigger's size bounds it.  Rows without key or time go, as in `dedup_by_ttl`.
     """
 
     def last_applied(_, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values([time, order])
         last = state.get[0] if state.exists else None
-        kept = []
-        for i, at in enumerate(rows[time]):
-            if last is None or at >= last + ttl_ms:
-                last = int(at)
-                kept.append(i)
+        open_ = [b if last is None else b[b[time].to_numpy() >= last + ttl_ms] for b in batches]
+        rows = open_[0] if len(open_) == 1 else pd.concat(open_)
+        if len(rows) > 1:
+            rows = rows.sort_values([time, order])
+        at, kept, i = rows[time].to_numpy(), [], 0
+        while i < len(at):  # once per applied delivery
+            kept.append(i)
+            last = int(at[i])
+            i = int(np.searchsorted(at, last + ttl_ms))
         if kept:
             state.update((last,))
         if expire:
             state.setTimeoutDuration(2 * ttl_ms)
-        yield rows.iloc[kept]
+        yield rows if len(kept) == len(rows) else rows.iloc[kept]
 
-    return stream.groupBy(key).applyInPandasWithState(
+    known = stream.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    return known.groupBy(key).applyInPandasWithState(
         last_applied, stream.schema, "last bigint", "append", "ProcessingTimeTimeout" if expire else "NoTimeout"
     )
