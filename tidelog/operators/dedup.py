@@ -69,14 +69,21 @@ def dedup_by_ttl(
     # Written once: the key is computed from whole row images and is read several times.
     known = F.col(key).isNotNull() & F.col(time).isNotNull()
     instants = cut_lineage(df.where(known).groupBy(key, time).agg(F.min(order).alias(order)))
-    jumps = cut_lineage(_next_after_expiry(instants.select(key, F.col(time).alias("_at")), ttl_ms, key, slices))
-    reached = instants.groupBy(key).agg(F.min(time).alias("_from"))
+    keys = instants.groupBy(key).agg(F.min(F.struct(time, order)).alias("_first"), F.max(time).alias("_last"))
+    # A key that is not seen again past its first expiry is done.
+    seen_again = F.col("_last") >= F.col(f"_first.{time}") + ttl_ms
+    keys = cut_lineage(keys.select(key, "_first.*", seen_again.alias("_again")))
+    again = keys.where("_again")
+    open_ = instants.join(again.select(key), key, "left_semi").select(key, F.col(time).alias("_at"))
+    jumps = cut_lineage(_next_after_expiry(open_, ttl_ms, key, slices))
+    reached = again.select(key, F.col(time).alias("_from"))
     while not jumps.isEmpty():
         ahead = reached.join(jumps, [key, "_from"]).select(key, F.col("_to").alias("_from"))
         reached = cut_lineage(reached.union(ahead))
         rest = jumps.select(key, F.col("_from").alias("_to"), F.col("_to").alias("_end"))
         jumps = cut_lineage(jumps.join(rest, [key, "_to"]).select(key, "_from", F.col("_end").alias("_to")))
-    return instants.join(reached.withColumnRenamed("_from", time), [key, time]).select(key, time, order)
+    chains = instants.join(reached.withColumnRenamed("_from", time), [key, time])
+    return keys.where("NOT _again").select(key, time, order).union(chains.select(key, time, order))
 
 
 def _next_after_expiry(instants: DataFrame, ttl_ms: int, key: str, slices: int) -> DataFrame:

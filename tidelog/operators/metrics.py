@@ -224,9 +224,12 @@ def _range_rise(
     # Evaluation times whose range holds both samples of the change.
     first = F.ceil(F.col(time) / step) * step
     last = F.ceil((F.col("_from") + range_ms) / step) * step - step
-    spread = changes.where(last >= first).withColumn("eval_ms", F.explode(F.sequence(first, last, step.cast("bigint"))))
-    return spread.groupBy(*series, "eval_ms").agg(
-        F.sum("_rise").alias("rise"), (F.max(time) - F.min("_from")).alias("span_ms")
+    # All changes of a step go into the same ranges, so they are summed up before they are spread.
+    sums = [F.sum("_rise").alias("_rise"), F.max(time).alias("_to"), F.min("_from").alias("_from")]
+    steps = changes.groupBy(*series, first.alias("_first"), last.alias("_last")).agg(*sums).where("_last >= _first")
+    evals = F.sequence("_first", "_last", step.cast("bigint"))
+    return steps.withColumn("eval_ms", F.explode(evals)).groupBy(*series, "eval_ms").agg(
+        F.sum("_rise").alias("rise"), (F.max("_to") - F.min("_from")).alias("span_ms")
     )
 
 

@@ -56,12 +56,12 @@ def dedup_ledger(spark, sf_dir):
     _DELIVERIES.rstrip()
     + """,
 marks AS (SELECT * FROM ledger UNION ALL
-  SELECT idempotency_key, delivered_ms, 'job-run', delivered_ms + 604800000 FROM deliveries WHERE seq % 3 = 0)
+  SELECT idempotency_key, delivered_ms, 'job-run', delivered_ms + 604800000 FROM deliveries)
 SELECT idempotency_key, max(processed_at) AS processed_at, max_by(job_id, processed_at::VARCHAR || job_id) AS job_id,
   max(expires_at) AS expires_at FROM marks GROUP BY idempotency_key""",
 )
 def ledger_upsert(spark, sf_dir):
-    applied = d.deliveries(spark, sf_dir).where("seq % 3 = 0").select(
+    applied = d.deliveries(spark, sf_dir).select(
         "idempotency_key", F.col("delivered_ms").alias("processed_at"), F.lit("job-run").alias("job_id")
     )
     return dedup.upsert_ledger(d.ledger(spark, sf_dir), applied)
@@ -139,19 +139,23 @@ def replay_outcomes(spark, sf_dir):
 
 
 def _base(spark, sf_dir):
-    """Target rows before the log: one per even user, from the customer table's balance order."""
-    e = table(spark, sf_dir, "events").where("user_id % 2 = 0")
-    return e.groupBy(F.col("user_id").alias("id")).agg(F.max("value").alias("amt")).select(
-        F.concat(F.lit("public.t"), (F.col("id") % 4).cast("string")).alias("tbl"),
-        "id", "amt", F.lit("base").alias("kind"),
-    )
+    """Target rows before the log: all customers, and all suppliers in a table of their own."""
+
+    def rows(name, key, amount, tbl):
+        row = table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("id"), F.col(amount).cast("double").alias("amt"))
+        return row.select(tbl.alias("tbl"), "id", "amt", F.lit("base").alias("kind"))
+
+    of_log = F.concat(F.lit("public.t"), (F.col("id") % 4).cast("string"))
+    customers = rows("customer", "c_custkey", "c_acctbal", of_log)
+    return customers.unionByName(rows("supplier", "s_suppkey", "s_acctbal", F.lit("public.t4")))
 
 
 _BASE = (
     _CHANGES.rstrip()
     + """,
-base AS (SELECT 'public.t' || CAST(user_id % 4 AS VARCHAR) AS tbl, user_id AS id, max(value) AS amt, 'base' AS kind
-  FROM events WHERE user_id % 2 = 0 GROUP BY user_id)
+base AS (SELECT 'public.t' || CAST(c_custkey % 4 AS VARCHAR) AS tbl, CAST(c_custkey AS BIGINT) AS id,
+    CAST(c_acctbal AS DOUBLE) AS amt, 'base' AS kind FROM customer
+  UNION ALL SELECT 'public.t4', CAST(s_suppkey AS BIGINT), CAST(s_acctbal AS DOUBLE), 'base' FROM supplier)
 """
 )
 
@@ -160,8 +164,8 @@ base AS (SELECT 'public.t' || CAST(user_id % 4 AS VARCHAR) AS tbl, user_id AS id
     "apply_insert",
     _BASE
     + """SELECT tbl, id, amt, kind FROM base UNION ALL
-SELECT tbl, id, amt, kind FROM (SELECT *, row_number() OVER (PARTITION BY tbl, id ORDER BY seq) AS rn
-  FROM changes WHERE operation = 'INSERT' AND id NOT IN (SELECT id FROM base)) WHERE rn = 1""",
+SELECT tbl, id, amt, kind FROM (SELECT *, row_number() OVER (PARTITION BY tbl, id ORDER BY seq) AS rn FROM changes c
+  WHERE operation = 'INSERT' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.tbl = c.tbl AND b.id = c.id)) WHERE rn = 1""",
 )
 def apply_insert(spark, sf_dir):
     return apply.apply_inserts(_base(spark, sf_dir), d.changes(spark, sf_dir), TARGET)
@@ -182,19 +186,18 @@ def apply_update(spark, sf_dir):
     "apply_delete",
     _BASE
     + """SELECT * FROM base b WHERE NOT EXISTS (SELECT 1 FROM changes c
-  WHERE c.operation = 'DELETE' AND c.tbl = b.tbl AND c.id = b.id AND c.seq % 40 = 0)""",
+  WHERE c.operation = 'DELETE' AND c.tbl = b.tbl AND c.id = b.id)""",
 )
 def apply_delete(spark, sf_dir):
-    return apply.apply_deletes(_base(spark, sf_dir), d.changes(spark, sf_dir).where("seq % 40 = 0"), TARGET)
+    return apply.apply_deletes(_base(spark, sf_dir), d.changes(spark, sf_dir), TARGET)
 
 
 @query(
     "apply_truncate",
-    _BASE
-    + """SELECT * FROM base WHERE tbl NOT IN (SELECT tbl FROM changes WHERE operation = 'TRUNCATE' AND part <> 2)""",
+    _BASE + """SELECT * FROM base WHERE tbl NOT IN (SELECT tbl FROM changes WHERE operation = 'TRUNCATE')""",
 )
 def apply_truncate(spark, sf_dir):
-    return apply.apply_truncates(_base(spark, sf_dir), d.changes(spark, sf_dir).where("part <> 2"))
+    return apply.apply_truncates(_base(spark, sf_dir), d.changes(spark, sf_dir))
 
 
 def _state_sql(rows: str) -> str:
