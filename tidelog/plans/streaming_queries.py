@@ -10,6 +10,7 @@ from tidelog.operators.dedup import KEY
 from tidelog.plans import datasets as d, state_queries
 from tidelog.plans import log_queries as _log  # noqa: F401  (its oracle is used below)
 from tidelog.plans.registry import ORACLES, query
+from tidelog.schemas import CHANGE_RECORD, LEDGER, SchemaMismatch
 from tidelog.session import checkpoint_root
 from tidelog.sources import logs
 from tidelog.sources.tables import table
@@ -63,9 +64,9 @@ def _append_to(path):
 
 @query(
     "stream_fanout",
-    d.with_ctes("changes")
-    + """SELECT sink, tbl, operation, count(*)::BIGINT AS n FROM changes CROSS JOIN (VALUES ('archive'), ('hot')) s(sink)
-GROUP BY ALL""",
+    d.with_ctes("changes", "hot")
+    + """SELECT 'archive' AS sink, tbl, operation, count(*)::BIGINT AS n FROM changes GROUP BY ALL
+UNION ALL SELECT 'hot', tbl, operation, count(*)::BIGINT FROM hot GROUP BY ALL""",
 )
 def stream_fanout(spark, sf_dir):
     root = _folder(spark)
@@ -73,12 +74,58 @@ def stream_fanout(spark, sf_dir):
     stream = d.flat_changes_of(_in_order(events, f"{root}/events", "event_id")).drop("ts")
     hot, archive = f"{root}/hot", f"{root}/archive"
     capture.run(stream, capture.fan_out(hot, archive), f"{root}/progress").awaitTermination()
-    both = capture.committed(spark, hot).withColumn("sink", F.lit("hot")).unionByName(
+    both = capture.hot_rows(spark, hot).withColumn("sink", F.lit("hot")).unionByName(
         capture.committed(spark, archive).withColumn("sink", F.lit("archive"))
     )
     return both.groupBy("sink", "tbl", "operation").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "stream_plugged",
+    d.with_ctes("changes")
+    + """SELECT tbl, operation, count(*)::BIGINT AS n, max(seq) AS last_seq FROM changes GROUP BY ALL""",
+)
+def stream_plugged(spark, sf_dir):
+    """A target of the caller's own: a function of a micro-batch and its number, here one that counts."""
+    root = _folder(spark)
+    kept = [F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq")]
+    append = _append_to(f"{root}/counts")
+    stream = _in_order(d.changes(spark, sf_dir).drop("ts"), f"{root}/log", "seq")
+    capture.run(
+        stream, lambda batch, n: append(batch.groupBy("tbl", "operation").agg(*kept), n), f"{root}/progress"
+    ).awaitTermination()
+    counts = capture.committed(spark, f"{root}/counts")
+    return counts.groupBy("tbl", "operation").agg(F.sum("n").alias("n"), F.max("last_seq").alias("last_seq"))
+
+
+@query(
+    "schema_guard",
+    d.with_ctes("changes", "images", "keyed", "ledger")
+    + """SELECT 'log' AS input, true AS accepted, count(*)::BIGINT AS n FROM changes
+UNION ALL SELECT 'ledger', true, count(*)::BIGINT FROM ledger UNION ALL SELECT 'events', false, 0""",
+)
+def schema_guard(spark, sf_dir):
+    """Stored inputs opened behind the guard: the log, the ledger, and a table that is no log."""
+    root = _folder(spark)
+    log = d.changes(spark, sf_dir).select(*CHANGE_RECORD.names)
+    log.write.parquet(f"{root}/log")
+    d.ledger(spark, sf_dir).write.parquet(f"{root}/ledger")
+    inputs = {
+        "log": (f"{root}/log", CHANGE_RECORD),
+        "ledger": (f"{root}/ledger", LEDGER),
+        "events": (f"{sf_dir}/events.parquet", CHANGE_RECORD),
+    }
+    out = []
+    for name, (path, schema) in inputs.items():
+        try:
+            opened, accepted = logs.read_log(spark, path, schema), True
+        except SchemaMismatch:
+            opened, accepted = spark.range(0), False
+        counted = opened.agg(F.count(F.lit(1)).alias("n"))
+        out.append(counted.select(F.lit(name).alias("input"), F.lit(accepted).alias("accepted"), "n"))
+    return out[0].union(out[1]).union(out[2])
+
+
 @query(
     "stream_tail",
     d.with_ctes("changes") + "SELECT seq, tbl, operation, (row_number() OVER (ORDER BY seq) - 1) // 10 AS chunk FROM changes",

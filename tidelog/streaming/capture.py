@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidelog.operators import decode, segments
 
 Sink = Callable[[DataFrame, int], None]
+HOT_SIZE = 100_000
 
 
 def capture(payloads: DataFrame, globs: str = "public.*") -> DataFrame:
@@ -79,3 +80,8 @@ def tail(path: str, progress: str, size: int = 10, order: str = "seq") -> Sink:
 def committed(spark: SparkSession, path: str) -> DataFrame:
     """All that `fan_out` has written to one table."""
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+
+
+def hot_rows(spark: SparkSession, path: str, size: int = HOT_SIZE, order: str = "seq") -> DataFrame:
+    """The hot table of `fan_out`: the newest `size` rows written so far."""
+    return segments.newest(committed(spark, path), size, order)
