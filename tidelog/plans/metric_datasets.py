@@ -79,15 +79,15 @@ def bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One metric page per scrape: the ingest counters of all series, and lines a parser must skip."""
-    ingested = samples(spark, sf_dir).where("metric = 'ingested'")
+    """One metric page per scrape: the counters of all series, and lines a parser must skip."""
     line = F.format_string(
-        'events_ingested_total{table="%s",operation="%s"} %d', "tbl", "operation", "value"
+        'events_%s_total{table="%s",operation="%s"} %d', "metric", "tbl", "operation", "value"
     )
-    per_page = ingested.groupBy("scrape_ms").agg(  # one line per series
+    per_page = samples(spark, sf_dir).groupBy("scrape_ms").agg(  # one line per series
         F.sort_array(F.collect_list(line)).alias("lines"), F.max("value").alias("top")
     )
-    head = F.array(F.lit("# HELP events_ingested_total Total events"), F.lit("# TYPE events_ingested_total counter"))
+    names = [f"events_{kind}_total" for kind in ("failed", "ingested", "replayed")]
+    head = F.array(*[F.lit(t) for n in names for t in (f"# HELP {n} Total events", f"# TYPE {n} counter")])
     tail = F.array(
         F.lit("events_ingested_total 5 1700000000000"),
         F.lit("# a comment"),

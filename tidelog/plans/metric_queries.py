@@ -80,11 +80,11 @@ _PARSED = (
     _SAMPLES.rstrip()
     + """,
 parsed AS (
-  SELECT scrape_ms, 'events_ingested_total' AS name, tbl, operation, value::DOUBLE AS value, 'Total events' AS help, 'counter' AS type,
-    row_number() OVER (PARTITION BY scrape_ms ORDER BY tbl, operation) + 1 AS pos
-  FROM samples WHERE metric = 'ingested'
-  UNION ALL SELECT scrape_ms, 'buffer_length', NULL, NULL, (max(value)::VARCHAR || '.5e1')::DOUBLE, 'Entries in the buffer', 'gauge', count(*) + 7
-  FROM samples WHERE metric = 'ingested' GROUP BY scrape_ms)
+  SELECT scrape_ms, 'events_' || metric || '_total' AS name, tbl, operation, value::DOUBLE AS value, 'Total events' AS help,
+    'counter' AS type, row_number() OVER (PARTITION BY scrape_ms ORDER BY metric, tbl, operation) + 5 AS pos
+  FROM samples
+  UNION ALL SELECT scrape_ms, 'buffer_length', NULL, NULL, (max(value)::VARCHAR || '.5e1')::DOUBLE, 'Entries in the buffer', 'gauge', count(*) + 11
+  FROM samples GROUP BY scrape_ms)
 """
 )
 
@@ -118,8 +118,9 @@ def metric_families(spark, sf_dir):
     "metric_by_label",
     _PARSED
     + """SELECT l.scrape_ms, l.operation, l.value, f.value AS first_value FROM (
-  SELECT scrape_ms, operation, max_by(value, pos) AS value FROM parsed WHERE operation IS NOT NULL GROUP BY ALL) l
-JOIN (SELECT scrape_ms, min_by(value, pos) AS value FROM parsed WHERE tbl = 'public.t1' GROUP BY ALL) f USING (scrape_ms)""",
+  SELECT scrape_ms, operation, max_by(value, pos) AS value FROM parsed WHERE operation IS NOT NULL
+    AND name = 'events_ingested_total' GROUP BY ALL) l
+JOIN (SELECT scrape_ms, min_by(value, pos) AS value FROM parsed WHERE tbl = 'public.t1' AND name = 'events_ingested_total' GROUP BY ALL) f USING (scrape_ms)""",
 )
 def metric_by_label(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
