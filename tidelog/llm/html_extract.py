@@ -1,11 +1,14 @@
 """The main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block of the page; lines of page furniture (menus,
-headers, footers, adverts, forms, comments, ...) stay as empty lines.  The lengths of `WINDOW`
-consecutive lines are summed: where the sum rises over the threshold the text surges, where it
-falls to nothing it dives, and the lines between are kept.  Inside an article element any
-text surges.  In pages without one, text of links does not count, and the threshold is
-`SURGE` characters or half of the page's highest sum, if that is lower.
+Markup is stripped into blocks of text; those of page furniture (menus, headers, footers,
+adverts, forms, comments, ...) are left out.  The lengths of `WINDOW` consecutive blocks are
+summed, without the text of links: text surges where a sum reaches `SURGE` characters, or half of
+the page's highest sum if that is lower, and dives at a menu, which is a run of blocks with two
+links or more and no words outside them, unless it stands in one element (not the body) with the
+text before and behind it.  Between two menus all blocks are kept, short and linked
+ones too, if text surges anywhere between them.  Between the first and the last surge, text is
+kept, and so are lists of links that stand in the same element as the text next to them.
+In pages with an article element, its blocks are kept.
 """
 
 from __future__ import annotations
@@ -13,12 +16,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines whose lengths are summed, and the sum at which text surges outside articles.
+#: Blocks whose lengths are summed, and the sum at which text surges.
 WINDOW, SURGE = 3, 86
 
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|object|xmp|noframes"
@@ -44,6 +49,7 @@ _NAMES = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment "
     "comments commentlist disqus respond replies pagination pager copyright disclaimer search toolbar skip hidden".split()
 )
+_LISTS = frozenset("li ul ol dl dt dd".split())
 _SECTIONING = frozenset("html body article main".split())
 
 
@@ -68,49 +74,79 @@ def _is_furniture(name: str, attributes: str) -> bool:
     return False
 
 
-class _Lines:
-    """Lines of a page: text, its length outside links, and whether it stands in an article."""
+class Block(NamedTuple):
+    """A line of a page that has text."""
+
+    text: str
+    size: int  # characters outside links, 0 if they have no word
+    links: frozenset[int]
+    article: bool
+    place: int  # the element around the block, or around its list if it is an item; 0 for the body
+
+
+class _Blocks:
+    """Gathers the text of one block after another."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool]] = []
+        self.blocks: list[Block] = []
         self._parts: list[str] = []
-        self._linked = 0
+        self._plain: list[str] = []
+        self._links: set[int] = set()
 
-    def add(self, raw: str, skipped: bool, linked: bool) -> None:
-        if not skipped:
-            self._parts.append(raw)
-            if linked:
-                self._linked += len(raw)
+    def add(self, raw: str, skipped: bool, link: int) -> None:
+        if skipped or not raw:
+            return
+        self._parts.append(raw)
+        if not link:
+            self._plain.append(raw)
+        elif not raw.isspace():
+            self._links.add(link)
 
-    def cut(self, in_article: bool) -> None:
-        raw = "".join(self._parts)
-        text = " ".join(html.unescape(raw).split())
-        self.lines.append((text, max(0, len(text) - self._linked), in_article and bool(text)))
-        self._parts, self._linked = [], 0
+    def cut(self, article: bool, place: int) -> None:
+        if text := _plain_text(self._parts):
+            plain = _plain_text(self._plain) if self._links else text
+            size = len(plain) if not self._links or re.search(r"\w", plain) else 0
+            self.blocks.append(Block(text, size, frozenset(self._links), article, place))
+        self._parts, self._plain, self._links = [], [], set()
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines; furniture leaves empty ones."""
-    out, at = _Lines(), 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are furniture
-    skipping = articles = links = 0
+def _plain_text(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The page's blocks of text outside furniture."""
+    out, at = _Blocks(), 0
+    stack: list[tuple[str, bool, int]] = []  # open elements, whether they are furniture, and their numbers
+    skipping = articles = elements = 0
+    links: list[int] = []
 
     def close(depth: int) -> None:
-        nonlocal skipping, articles, links
-        for name, furniture in stack[depth:]:
+        nonlocal skipping, articles
+        for name, furniture, _ in stack[depth:]:
             skipping -= furniture
             articles -= name in ("article", "main")
-            links -= name == "a"
+            if name == "a":
+                links.pop()
         del stack[depth:]
 
+    def place() -> int:
+        """The number of the element around the innermost block, and around its list if it is an item."""
+        open_blocks = [(name, number) for name, _, number in stack if name in _BLOCKS and name != "body"]
+        if open_blocks and open_blocks[-1][0] not in _LISTS:
+            open_blocks.pop()
+        while open_blocks and open_blocks[-1][0] in _LISTS:
+            open_blocks.pop()
+        return open_blocks[-1][1] if open_blocks else 0
+
     for found in _TOKEN.finditer(page):
-        out.add(page[at : found.start()], skipping > 0, links > 0)
+        out.add(page[at : found.start()], skipping > 0, links[-1] if links else 0)
         at = found.end()
         name = (found["name"] or "").lower()
         if not name:
             continue
         if name in _BLOCKS or name in _FURNITURE:
-            out.cut(articles > 0)
+            out.cut(articles > 0, place())
         if found["end"]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == name:
@@ -118,7 +154,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     break
             continue
         if name == "body":
-            close(next((d for d, (n, _) in enumerate(stack) if n == "head"), len(stack)))
+            close(next((d for d, (n, *_) in enumerate(stack) if n == "head"), len(stack)))
         if name in _BLOCKS and stack and stack[-1][0] == "p":
             close(len(stack) - 1)
         if name == "li" and stack and stack[-1][0] == "li":
@@ -126,32 +162,47 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in _VOID or found["attributes"].endswith("/"):
             continue
         furniture = _is_furniture(name, found["attributes"])
-        stack.append((name, furniture))
+        elements += 1
+        stack.append((name, furniture, elements))
         skipping += furniture
         articles += name in ("article", "main")
-        links += name == "a"
-    out.add(page[at:], skipping > 0, links > 0)
-    out.cut(articles > 0)
-    return out.lines
+        if name == "a":
+            links.append(elements)
+    out.add(page[at:], skipping > 0, links[-1] if links else 0)
+    out.cut(articles > 0, place())
+    return out.blocks
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article of `page`: lines between surges and dives, joined by a space."""
-    lines = lines_of(page)
-    inside = any(article for _, _, article in lines)
-    sizes = [len(text) if article else 0 for text, _, article in lines] if inside else [size for _, size, _ in lines]
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    most = max(sums, default=0)
-    limit = 0 if inside else min(surge, most / 2)
-    kept, on = [], False
-    for (text, _, _), size, total in zip(lines, sizes, sums):
-        if not on and total > limit and size:
-            on = True
-        elif on and not total:
-            on = False
-        if on and size:
-            kept.append(text)
-    return " ".join(kept)
+    """The article of `page`: blocks between surges and dives, joined by a space."""
+    blocks = blocks_of(page)
+    if any(b.article for b in blocks):
+        return " ".join(b.text for b in blocks if b.article)
+    # Runs of blocks: menus, and the text between menus.
+    groups = [list(group) for _, group in groupby(blocks, lambda b: not b.size)]
+    runs: list[tuple[bool, list[Block]]] = []
+    for i, run in enumerate(groups):
+        menu = not run[0].size and len(frozenset().union(*(b.links for b in run))) > 1
+        if menu and 0 < i < len(groups) - 1 and run[0].place:
+            menu = not run[0].place == run[-1].place == groups[i - 1][-1].place == groups[i + 1][0].place
+        if runs and not menu and not runs[-1][0]:
+            runs[-1][1].extend(run)
+        else:
+            runs.append((menu, run))
+
+    def most(run: list[Block]) -> int:
+        sizes = [b.size for b in run]
+        return max(sum(sizes[i : i + window]) for i in range(len(sizes)))
+
+    sums = [most(run) for _, run in runs]
+    limit = min(surge, max(sums, default=0) / 2)
+    surges = [i for i, (menu, _) in enumerate(runs) if not menu and sums[i] >= limit]
+    kept: list[Block] = []
+    for i in range(surges[0], surges[-1] + 1) if surges else ():
+        menu, run = runs[i]
+        if not menu or {run[0].place, run[-1].place} & {runs[i - 1][1][-1].place, runs[i + 1][1][0].place}:
+            kept += run
+    return " ".join(b.text for b in kept)
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
