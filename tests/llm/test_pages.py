@@ -22,3 +22,28 @@ WITHOUT_ARTICLE = [
 @pytest.mark.parametrize("page, text", WITHOUT_ARTICLE)
 def test_pages_without_article(page, text):
     assert html_extract.main_text(page) == text
+
+
+ARTICLE = f"<article><h1>Head</h1><p>{LONG}</p></article>"
+WITH_ARTICLE = [
+    *[(f'<div class="nav">Go</div><div class="{name}">{ARTICLE}</div><div class="sidebar">Side</div>', f"Head {LONG}")
+      for name in ("layout has-sidebar", "no-sidebar", "with-header", "menu-open", "page-banner", "ad-layout", "widget")],
+    (f'<div class="layout no-sidebar"><p>Short.</p><p>{LONG}</p></div>', f"Short. {LONG}"),
+    (f'<div class="widget"><p>{LONG}</p></div><div class="widget">Weather</div>', LONG),
+    (f"<form><div>{ARTICLE}</div></form><form>Name <input></form>", f"Head {LONG}"),
+    ('<svg width="1"/><article><p>Te<svg viewBox="0" />xt</p></article>', "Text"),
+    ("<article><p>A<svg><title/><style/><text>icon</text></svg></p><p>B<svg><path></p><p>C</p></article>", "A B C"),
+    (f"<div><p>{LONG}</p></div><article>Teaser</article><div><p>Short.</p><p>{LONG}</p></div>", f"{LONG} Teaser Short. {LONG}"),
+    (f"{ARTICLE}<section id=comments><article class=comment-body>{LONG}{LONG}</article></section>", f"Head {LONG}"),
+    (f"{ARTICLE}<div class=comments><article>{LONG}{LONG}</article></div>", f"Head {LONG}"),
+]
+
+
+@pytest.mark.parametrize("page, text", WITH_ARTICLE)
+def test_names_and_articles(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_deep_and_odd_pages_take_linear_time():
+    pages = ["<div>a" * 50_000, "<svg><style/>" * 50_000, "<svg>" * 50_000 + "<p>x", "</b>" * 50_000, "<title>" * 50_000]
+    assert [len(html_extract.main_text(page)) for page in pages] == [99_999, 0, 1, 0, 0]

@@ -8,7 +8,11 @@ links or more and no words outside them, unless it stands in one element (not th
 text before and behind it.  Between two menus all blocks are kept, short and linked
 ones too, if text surges anywhere between them.  Between the first and the last surge, text is
 kept, and so are lists of links that stand in the same element as the text next to them.
-In pages with an article element, its blocks are kept.
+In an article element the text of links counts, and any block weighs enough to surge; text
+outside it is weighed like that of other pages.
+
+An element is furniture by its kind (nav, hidden, a role, ...) or by a name (class or id).  By name it
+is not, and a form is not, if it holds more than half of the page's text or of the text in articles.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import groupby
 from typing import NamedTuple
 
@@ -26,12 +31,13 @@ from pyspark.sql import functions as F
 #: Blocks whose lengths are summed, and the sum at which text surges.
 WINDOW, SURGE = 3, 86
 
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|object|xmp|noframes"
+_RAW = frozenset("script style noscript template textarea title iframe object xmp noframes".split())
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
-    re.DOTALL | re.IGNORECASE,
+    re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
@@ -49,12 +55,39 @@ _NAMES = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment "
     "comments commentlist disqus respond replies pagination pager copyright disclaimer search toolbar skip hidden".split()
 )
+#: Names of what is no main text, however much of the page it is, unless all articles stand in it.
+_NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "comment comments commentlist disqus respond replies hidden related recommended social share sharing newsletter "
+    "subscribe subscription signup login".split()
+)
+#: Words that say in what state a page or wrapper is: has-sidebar, menu-open.
+_BEFORE = frozenset("has no not non with without".split())
+_AFTER = frozenset("open opened closed enabled disabled on off active visible collapsed expanded free".split())
 _LISTS = frozenset("li ul ol dl dt dd".split())
 _SECTIONING = frozenset("html body article main".split())
 
 
+def _named(name: str, attributes: str) -> str | None:
+    """The word of a class or id that names furniture."""
+    for key, value in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key in ("class", "id") and (name not in _SECTIONING or "comment" in value):
+            for word in value.split():
+                parts = re.split(r"[-_]+", word)
+                if word in _NAMES:
+                    return word
+                if parts[0] in _BEFORE or parts[-1] in _AFTER:
+                    continue
+                for part in (parts[0], parts[-1]):
+                    if part in _NAMES:
+                        return part
+    return None
+
+
 def _is_furniture(name: str, attributes: str) -> bool:
-    if name in _FURNITURE:
+    """Whether an element is furniture by its kind, whatever it is called."""
+    if name in _FURNITURE and name != "form" or name == "svg":
         return True
     if not attributes.strip():
         return False
@@ -66,21 +99,44 @@ def _is_furniture(name: str, attributes: str) -> bool:
             return True
         if key == "role" and value in _ROLES:
             return True
-        if key in ("class", "id") and (name not in _SECTIONING or "comment" in value):
-            for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                if word in _NAMES or parts[0] in _NAMES and parts[-1] != "free" or parts[-1] in _NAMES:
-                    return True
     return False
 
 
+@dataclass(slots=True)
+class _Element:
+    """An open or closed element; the root has number 0."""
+
+    number: int
+    name: str = ""
+    skipped: bool = False  # it or one around it is furniture
+    named: str | None = None  # furniture by this name, unless it holds the article or most text
+    link: int = 0  # the innermost link
+    article: bool = False
+    place: int = 0
+    block: int = 0  # the innermost block
+    listed: bool = False  # which is a list or item
+    parent: int = 0
+    size: int = 0  # text in it, outside links and furniture by kind
+    main: int = 0  # of that, in articles
+
+    def child(self, number: int, name: str, attributes: str) -> _Element:
+        skipped = self.skipped or _is_furniture(name, attributes)
+        named = None if skipped else _named(name, attributes) or ("form" if name == "form" else None)
+        out = _Element(
+            number, name, skipped, named, number if name == "a" else self.link,
+            self.article or name in ("article", "main") and not named, self.place, self.block, self.listed, self.number,
+        )
+        if name in _BLOCKS and name != "body":
+            out.place, out.block, out.listed = self.place if self.listed else self.block, number, name in _LISTS
+        return out
+
+
 class Block(NamedTuple):
     """A line of a page that has text."""
 
     text: str
-    size: int  # characters outside links, 0 if they have no word
+    size: int  # characters outside links, 0 if they have no word; in articles all, and enough to surge
     links: frozenset[int]
-    article: bool
     place: int  # the element around the block, or around its list if it is an item; 0 for the body
 
 
@@ -105,8 +161,8 @@ class _Blocks:
     def cut(self, article: bool, place: int) -> None:
         if text := _plain_text(self._parts):
             plain = _plain_text(self._plain) if self._links else text
-            size = len(plain) if not self._links or re.search(r"\w", plain) else 0
-            self.blocks.append(Block(text, size, frozenset(self._links), article, place))
+            size = len(text) + SURGE if article else len(plain) if not self._links or re.search(r"\w", plain) else 0
+            self.blocks.append(Block(text, size, frozenset(self._links), place))
         self._parts, self._plain, self._links = [], [], set()
 
 
@@ -114,70 +170,86 @@ def _plain_text(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text outside furniture."""
-    out, at = _Blocks(), 0
-    stack: list[tuple[str, bool, int]] = []  # open elements, whether they are furniture, and their numbers
-    skipping = articles = elements = 0
-    links: list[int] = []
+def _read(page: str) -> tuple[list[_Element], list[tuple[str, int, bool]]]:
+    """The elements of a page; its pieces of text, their elements, and whether a block ends there."""
+    elements = [_Element(0)]
+    stack, pieces, at = [elements[0]], [], 0
+    svgs = 0
 
     def close(depth: int) -> None:
-        nonlocal skipping, articles
-        for name, furniture, _ in stack[depth:]:
-            skipping -= furniture
-            articles -= name in ("article", "main")
-            if name == "a":
-                links.pop()
+        nonlocal svgs
+        svgs -= sum(e.name == "svg" for e in stack[depth:])
         del stack[depth:]
 
-    def place() -> int:
-        """The number of the element around the innermost block, and around its list if it is an item."""
-        open_blocks = [(name, number) for name, _, number in stack if name in _BLOCKS and name != "body"]
-        if open_blocks and open_blocks[-1][0] not in _LISTS:
-            open_blocks.pop()
-        while open_blocks and open_blocks[-1][0] in _LISTS:
-            open_blocks.pop()
-        return open_blocks[-1][1] if open_blocks else 0
-
-    for found in _TOKEN.finditer(page):
-        out.add(page[at : found.start()], skipping > 0, links[-1] if links else 0)
-        at = found.end()
+    def add(raw: str, ends: bool) -> None:
+        inner = stack[-1]
+        pieces.append((raw, inner.number, ends))
+        if not inner.skipped and not inner.link:
+            size = len(raw.strip())
+            inner.size += size
+            inner.main += size * inner.article
+
+    while found := _TOKEN.search(page, at):
         name = (found["name"] or "").lower()
+        block = name in _BLOCKS or name in _FURNITURE
+        add(page[at : found.start()], block)
+        at = found.end()
         if not name:
             continue
-        if name in _BLOCKS or name in _FURNITURE:
-            out.cut(articles > 0, place())
         if found["end"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth].name == name:
                     close(depth)
                     break
             continue
+        single = found["attributes"].endswith("/")
+        if name in _RAW:
+            if not (single and svgs):
+                ended = _ENDS[name].search(page, at)
+                at = ended.end() if ended else len(page)
+            continue
         if name == "body":
-            close(next((d for d, (n, *_) in enumerate(stack) if n == "head"), len(stack)))
-        if name in _BLOCKS and stack and stack[-1][0] == "p":
+            close(next((d for d, e in enumerate(stack) if e.name == "head"), len(stack)))
+        if svgs and name in _BLOCKS and not any(e.name == "foreignobject" for e in stack):  # an svg without an end
+            close(next(d for d, e in enumerate(stack) if e.name == "svg"))
+        if name in _BLOCKS and stack[-1].name == "p":
             close(len(stack) - 1)
-        if name == "li" and stack and stack[-1][0] == "li":
+        if name == "li" and stack[-1].name == "li":
             close(len(stack) - 1)
-        if name in _VOID or found["attributes"].endswith("/"):
+        if name in _VOID or single:
             continue
-        furniture = _is_furniture(name, found["attributes"])
-        elements += 1
-        stack.append((name, furniture, elements))
-        skipping += furniture
-        articles += name in ("article", "main")
-        if name == "a":
-            links.append(elements)
-    out.add(page[at:], skipping > 0, links[-1] if links else 0)
-    out.cut(articles > 0, place())
+        elements.append(stack[-1].child(len(elements), name, found["attributes"]))
+        stack.append(elements[-1])
+        svgs += name == "svg"
+    add(page[at:], True)
+    return elements, pieces
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The page's blocks of text outside furniture."""
+    elements, pieces = _read(page)
+    for e in reversed(elements[1:]):
+        elements[e.parent].size += e.size
+        elements[e.parent].main += e.main
+    root = elements[0]
+    for e in elements[1:]:
+        if e.named in _NEVER:
+            holds = e.main == root.main > 0
+        else:
+            holds = 2 * e.main > root.main or 2 * e.size > root.size
+        e.skipped = e.skipped or elements[e.parent].skipped or e.named is not None and not holds
+    out = _Blocks()
+    for raw, number, ends in pieces:
+        e = elements[number]
+        out.add(raw, e.skipped, e.link)
+        if ends:
+            out.cut(e.article, e.place)
     return out.blocks
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of `page`: blocks between surges and dives, joined by a space."""
     blocks = blocks_of(page)
-    if any(b.article for b in blocks):
-        return " ".join(b.text for b in blocks if b.article)
     # Runs of blocks: menus, and the text between menus.
     groups = [list(group) for _, group in groupby(blocks, lambda b: not b.size)]
     runs: list[tuple[bool, list[Block]]] = []
