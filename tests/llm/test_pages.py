@@ -44,6 +44,12 @@ def test_names_and_articles(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_sums_decide_beside_an_article():
+    weak, menu = "<p>Weak.</p>", f"<div>{MENU}</div>"
+    page = f"{weak}{menu}<p>{LONG}</p>{menu}{ARTICLE}{weak}{menu}{weak}"
+    assert html_extract.main_text(page) == f"{LONG} Head {LONG} Weak."
+
+
 def test_deep_and_odd_pages_take_linear_time():
     pages = ["<div>a" * 50_000, "<svg><style/>" * 50_000, "<svg>" * 50_000 + "<p>x", "</b>" * 50_000, "<title>" * 50_000]
     assert [len(html_extract.main_text(page)) for page in pages] == [99_999, 0, 1, 0, 0]
