@@ -77,9 +77,16 @@ def _passes(kind: Column, found: Column) -> Column:
 def _described(kind: str):
     def match(found: Column, i: Column) -> Column:
         gap = F.get(f"{kind}_between", i)
+        # Each match has a character at least, so these pieces reach back `_TAIL` characters.
+        first = F.greatest(i - _TAIL, F.lit(0))
+        pieces = F.zip_with(
+            F.slice(f"{kind}_between", first + 1, i - first), F.slice(kind, first + 1, i - first),
+            lambda between, match: F.concat(F.right(between, F.lit(_TAIL)), F.right(match, F.lit(_TAIL))),
+        )
+        before = F.concat(F.array_join(pieces, ""), F.right(gap, F.lit(_TAIL)))
         return F.struct(
             F.lit(kind).alias("kind"), (i + 1).alias("i"), F.length(gap).alias("gap"), found.alias("found"),
-            F.right(gap, F.lit(_TAIL)).alias("before"),
+            F.right(before, F.lit(_TAIL)).alias("before"),
         )
 
     return match
@@ -89,7 +96,7 @@ def matches(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All rows, written (`row`, `doc_id`), and their matches that pass.
 
     A match: `row`, `kind`, `start`, `end` (code points), `found`, `before` (the text in front, at most
-    64 characters, back to the match before).
+    64 characters).
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), whole.alias("whole"))
