@@ -1,4 +1,4 @@
-"""Removal of byte strings that repeat, by prefix doubling over ranked positions.
+"""Removal of byte strings that repeat, by hashes of runs of positions (in place of prefix doubling).
 
 A position's rank at a length is a name for the string of that length there; equal strings
 have equal ranks.  Spark groups positions by rank at growing lengths, drops those whose rank
