@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, decontaminate, html_extract, line_dedup, pii, quality, simhash, suffix_dedup, topk, url_filter
+from . import (
+    bpe, decontaminate, hard_negatives, html_extract, language_id, line_dedup, pii, quality, simhash, suffix_dedup, topk,
+    url_filter, variants,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,3 +181,85 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op11_language_id")
+def language_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    out = language_id.identify(docs.select("doc_id", "text"), docs.where(~held_out), VOCABULARY)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH r AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+        FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+    ), p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor_id, positive_id,
+           row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+         AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3
+    """,
+)
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+@query(
+    "op13_spelling_variants",
+    r"""
+    WITH RECURSIVE crc AS (
+        SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1
+                    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)
+    ), runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+    ), coded AS (
+        SELECT run, length(run) AS size, hex(encode(id || ':' || run)) AS digits FROM runs
+    ), checked AS (
+        SELECT run, size, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(digits), 2),
+               lambda i: ('0x' || substr(digits, i, 2))::BIGINT)),
+               lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h FROM coded, crc
+    ), words AS (
+        SELECT word, count(*) AS n FROM (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % size) || substr(run, h % size + 2) ELSE run END AS word FROM checked
+        ) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+    ), cut AS (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), shorter AS (
+        SELECT DISTINCT a.word AS long, a.n AS long_n, b.word AS short, b.n AS short_n FROM cut a JOIN words b ON a.rest = b.word
+    ), near AS (
+        SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION ALL SELECT long, short, short_n FROM shorter UNION ALL SELECT short, long, long_n FROM shorter
+    ), best AS (
+        SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+        QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1
+    ), found AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN other END AS form,
+               CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+        FROM words w LEFT JOIN best b ON b.word = w.word
+    ), steps AS (
+        SELECT word, word AS root FROM found
+        UNION ALL SELECT s.word, f.form FROM steps s JOIN found f ON f.word = s.root WHERE f.form IS NOT NULL
+    )
+    SELECT f.word, f.n, f.n_near, f.form, f.form_n, s.root
+    FROM found f JOIN steps s ON s.word = f.word JOIN found l ON l.word = s.root AND l.form IS NULL
+    """,
+)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), every=31)
