@@ -3,13 +3,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import apply
+from tidelog.operators import apply, identity
 
 TARGET = apply.Target(keys=("id",), columns={"id": "bigint", "amt": "double", "kind": "string"})
 SCHEMA = "seq bigint, tbl string, operation string, old map<string,string>, new map<string,string>"
 
 
-def fold(changes, base=()):
+def fold(changes, base=(), many_rows=False):
     """Apply a log one change at a time."""
     tables = {}
     for tbl, key, amt, kind in base:
@@ -22,7 +22,13 @@ def fold(changes, base=()):
             old = {c: types[c](v) for c, v in old.items()}
         except (KeyError, ValueError):
             continue
-        if op == "INSERT" and new and "id" in new:
+        if many_rows and op in ("UPDATE", "DELETE") and old and "id" not in old and "id" not in new and (new or op == "DELETE"):
+            for key in [k for k, row in rows.items() if all(row[c] == v for c, v in old.items())]:
+                if op == "UPDATE":
+                    rows[key] = {**rows[key], **new}
+                else:
+                    del rows[key]
+        elif op == "INSERT" and new and "id" in new:
             rows.setdefault(new["id"], {"amt": new.get("amt"), "kind": new.get("kind")})
         elif op == "UPDATE" and old and new and "id" in old:
             row = rows.get(old["id"])
@@ -42,7 +48,7 @@ def fold(changes, base=()):
     return sorted((t, k, r["amt"], r["kind"]) for t, rows in tables.items() for k, r in rows.items())
 
 
-def random_log(rng, n, ids=6, rekey=0.0, full=0.0):
+def random_log(rng, n, ids=6, rekey=0.0, full=0.0, wide=0.0):
     out = []
     for seq in range(n):
         op = rng.choices(["INSERT", "UPDATE", "DELETE", "TRUNCATE", "MERGE"], [30, 50, 15, 1, 1])[0]
@@ -54,6 +60,9 @@ def random_log(rng, n, ids=6, rekey=0.0, full=0.0):
             new["id"] = str(rng.randrange(ids))
         if op in ("UPDATE", "DELETE") and rng.random() < full:
             old["kind"] = rng.choice("xyz")
+        if op in ("UPDATE", "DELETE") and rng.random() < wide:
+            old = {c: v for c, v in [("kind", rng.choice("xyz")), ("amt", f"{rng.randint(1, 9)}.50")] if rng.random() < 0.6}
+            new = {c: v for c, v in new.items() if c != "id"} if rng.random() < 0.9 else new
         if rng.random() < 0.03:
             new = {}
         if rng.random() < 0.03:
@@ -86,15 +95,52 @@ def test_log_matches_fold(spark, seed):
     assert sorted(got, key=sort_key) == sorted(fold(log, base), key=sort_key)
 
 
+BASE = [("t", 0, 1.0, "b"), ("t", 9, 2.0, "c"), ("u", 3, 4.0, "x")]
+BASE_SCHEMA = "tbl string, id bigint, amt double, kind string"
+
+
+@pytest.mark.parametrize("seed, limit", [(0, 3), (1, 3), (2, 10_000)])
+def test_key_changes_match_fold(spark, seed, limit, monkeypatch):
+    monkeypatch.setattr(identity, "LIMIT", limit)  # so that chains need several segments
+    monkeypatch.setattr(identity, "WIDTH", 16)
+    log = random_log(random.Random(100 + seed), 150, ids=8, rekey=0.1, full=0.3)
+    got = rows(apply.apply_general(spark.createDataFrame(log, SCHEMA), TARGET, spark.createDataFrame(BASE, BASE_SCHEMA), width=17))
+    assert sorted(got, key=sort_key) == sorted(fold(log, BASE), key=sort_key)
+
+
+def test_full_identity_matches_fold(spark, monkeypatch):
+    """Every `old` is the whole row as it was, but for a few that miss; one key has most of the log."""
+    monkeypatch.setattr(identity, "LIMIT", 20)
+    monkeypatch.setattr(identity, "WIDTH", 32)
+    rng, state, log = random.Random(5), {}, []
+    for seq in range(400):
+        key = 0 if rng.random() < 0.7 else rng.randrange(1, 8)
+        new = {"amt": f"{rng.randint(1, 9)}.5", "kind": rng.choice("xyz")}
+        if key not in state:
+            state[key] = new
+            log.append((seq, "t", "INSERT", {}, {"id": str(key), **new}))
+            continue
+        old = {"id": str(key), **state[key]}
+        if rng.random() < 0.1:
+            old["kind"] = "w"
+        op = "DELETE" if rng.random() < 0.05 else "UPDATE"
+        log.append((seq, "t", op, old, {} if op == "DELETE" else new))
+        if old["kind"] != "w":
+            state.pop(key)
+            if op == "UPDATE":
+                state[key] = new
+    got = rows(apply.apply_log(spark.createDataFrame(log, SCHEMA), TARGET))
+    assert got == fold(log) == sorted(("t", k, float(r["amt"]), r["kind"]) for k, r in state.items())
+
+
 @pytest.mark.parametrize("seed", range(2))
-def test_key_changes_match_fold(spark, seed, monkeypatch):
-    monkeypatch.setattr(apply, "FOLD_ITEMS", 40)  # so that components need several slices
-    rng = random.Random(100 + seed)
-    log = random_log(rng, 120, ids=8, rekey=0.1, full=0.1)
-    base = [("t", 0, 1.0, "b"), ("t", 9, 2.0, "c"), ("u", 3, 4.0, "x")]
-    got = rows(apply.apply_general(spark.createDataFrame(log, SCHEMA), TARGET,
-                                   spark.createDataFrame(base, "tbl string, id bigint, amt double, kind string"), width=17))
-    assert sorted(got, key=sort_key) == sorted(fold(log, base), key=sort_key)
+def test_changes_of_many_rows_match_fold(spark, seed, monkeypatch):
+    monkeypatch.setattr(identity, "LIMIT", 12)
+    monkeypatch.setattr(identity, "WIDTH", 16)
+    target = apply.Target(TARGET.keys, TARGET.columns, many_rows=True)
+    log = random_log(random.Random(200 + seed), 150, ids=8, rekey=0.08, full=0.1, wide=0.3)
+    got = rows(apply.apply_general(spark.createDataFrame(log, SCHEMA), target, spark.createDataFrame(BASE, BASE_SCHEMA), width=17))
+    assert sorted(got, key=sort_key) == sorted(fold(log, BASE, many_rows=True), key=sort_key)
 
 
 def test_general_without_special_changes(spark):

@@ -17,22 +17,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidelog.functions.wal import OPERATIONS
-from tidelog.operators import segments
+from tidelog.operators import identity, segments
 from tidelog.session import cut_lineage
 
-FOLD_ITEMS = 100_000
-
 
 @dataclass(frozen=True)
 class Target:
     keys: tuple[str, ...]
     columns: dict[str, str]  # name -> Spark type, keys included
+    many_rows: bool = False  # whether `old` may lack key columns and so name many rows
 
     @property
     def values(self) -> list[str]:
@@ -75,9 +73,11 @@ def apply_status(target: Target | None = None) -> Column:
             unfit = unfit | (used & condition)
     no_key = F.lit(False)
     for k in target.keys:
-        no_key = no_key | F.when(op == "INSERT", F.col("new")[k].isNull()).when(
-            op.isin("UPDATE", "DELETE"), F.col("old")[k].isNull()
-        ).otherwise(False)
+        # Many rows cannot be given one key.
+        unnamed = F.col("old")[k].isNull()
+        if target.many_rows:
+            unnamed = unnamed & reduce(lambda a, b: a | b, [F.col("new")[c].isNotNull() for c in target.keys])
+        no_key = no_key | F.when(op == "INSERT", F.col("new")[k].isNull()).when(op.isin("UPDATE", "DELETE"), unnamed).otherwise(False)
     return (
         F.when(bad, "apply_error").when(_is_noop(), "noop").when(unfit | no_key, "apply_error").otherwise("applied")
     )
@@ -144,30 +144,41 @@ def summarise(rows: DataFrame, by: Sequence[str], values: Sequence[str], width:
     of the log is thereby spread over all its segments.
     """
     by = list(by)
+    pieces_ = pieces(rows.withColumn("_seg", segments.segment_of("seq", width)), by, values)
+    return _joined(pieces_, by, values)
+
+
+def _last(column: str, condition: Column, order: Column) -> Column:
+    return F.max_by(column, F.when(condition & F.col(column).isNotNull(), order))
+
+
+def pieces(rows: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """What the changes of each group and segment (`_seg`) do to a row, as one row per piece.
+
+    `_from`, `_del` and `_birth`: the places of the first change, the last DELETE and the first
+    INSERT behind it; `_b_*` and `_u_*`: the last values since the birth and since the DELETE.
+    """
+    by = list(by)
     seq, insert, update = F.col("seq"), F.col("operation") == "INSERT", F.col("operation") == "UPDATE"
     piece = W.partitionBy(*by, "_seg")
     none = F.lit(-(2**62))
-
-    rows = (
-        rows.withColumn("_seg", segments.segment_of("seq", width))
-        .withColumn("_del", F.max(F.when(F.col("operation") == "DELETE", seq)).over(piece))
-        .withColumn("_birth", F.min(F.when(insert & (seq > F.coalesce("_del", none)), seq)).over(piece))
+    rows = rows.withColumn("_del", F.max(F.when(F.col("operation") == "DELETE", seq)).over(piece)).withColumn(
+        "_birth", F.min(F.when(insert & (seq > F.coalesce("_del", none)), seq)).over(piece)
     )
-
-    def last(column, condition, order):
-        shown = condition & F.col(column).isNotNull()
-        return F.max_by(column, F.when(shown, order))
-
     in_born = (seq == F.col("_birth")) | (update & (seq > F.col("_birth")))
     in_update = update & (seq > F.coalesce("_del", none))
-    pieces = rows.groupBy(*by, "_seg").agg(
+    return rows.groupBy(*by, "_seg").agg(
         F.min("seq").alias("_from"),
         F.max("_del").alias("_del"),
         F.max("_birth").alias("_birth"),
-        *[last(c, in_born, seq).alias(f"_b_{c}") for c in values],
-        *[last(c, in_update, seq).alias(f"_u_{c}") for c in values],
+        *[_last(c, in_born, seq).alias(f"_b_{c}") for c in values],
+        *[_last(c, in_update, seq).alias(f"_u_{c}") for c in values],
     )
 
+
+def _joined(pieces: DataFrame, by: list[str], values: Sequence[str]) -> DataFrame:
+    """The pieces of each group as one row."""
+    none = F.lit(-(2**62))
     whole = W.partitionBy(*by)
     seg = F.col("_seg")
     pieces = pieces.withColumn(
@@ -184,8 +195,8 @@ def summarise(rows: DataFrame, by: Sequence[str], values: Sequence[str], width:
         F.min("_from").alias("first_seq"),
         F.max(F.col("_del_seg").isNotNull()).alias("deleted"),
         F.max(F.col("_birth_seg").isNotNull()).alias("born"),
-        *[last(f"_b_{c}", seg >= F.col("_birth_seg"), seg).alias(f"born_{c}") for c in values],
-        *[last(f"_u_{c}", seg >= F.coalesce("_del_seg", none), seg).alias(f"upd_{c}") for c in values],
+        *[_last(f"_b_{c}", seg >= F.col("_birth_seg"), seg).alias(f"born_{c}") for c in values],
+        *[_last(f"_u_{c}", seg >= F.coalesce("_del_seg", none), seg).alias(f"upd_{c}") for c in values],
     )
 
 
@@ -241,7 +252,7 @@ def apply_truncates(base: DataFrame, changes: DataFrame) -> DataFrame:
     return base.join(emptied, "tbl", "left_anti")
 
 
-# --- key-changing updates -----------------------------------------------------
+# --- changes that depend on the rows they meet -------------------------------
 
 
 def apply_general(
@@ -251,169 +262,77 @@ def apply_general(
     width: int = segments.SEGMENT_ROWS,
     raw_log: DataFrame | None = None,
 ) -> DataFrame:
-    """Target rows after a log that may change keys or test other columns in `old`.
+    """Target rows after a log that may change keys, test other columns in `old`, or name many rows.
 
-    A *special* change does either.  Keys no special change touches go the set-based
-    way.  For the others, the changes between two special ones collapse to one row per
-    key (`summarise`), and only those rows and the special changes are folded in order,
-    per group of keys linked by key changes.  A key change onto an existing key violates
-    the unique key and is an error that leaves both rows alone.
+    A *special* change does one of these.  Keys no special change touches go the set-based
+    way; the others are resolved row by row of the target (`identity`).  A key change onto an
+    existing key violates the unique key and is an error that leaves both rows alone.  With
+    `target.many_rows`, a change whose `old` lacks key columns meets all rows that match it.
     """
-    keys, values = list(target.keys), target.values
-    effective = _with_marks(changes, target)
-    if base is not None:
-        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in effective.schema.fields if f.name.startswith("_")]
-        before = _with_base(effective.limit(0).select("seq", "tbl", "operation", *keys, *values), base, target)
-        effective = effective.unionByName(before.select("*", *blank).fillna(False, ["_special"]))
-    rows = cut_lineage(after_truncate(effective, changes if raw_log is None else raw_log))
-    special = rows.where("_special")
-    if special.isEmpty():
-        state = summarise(rows.select("seq", "tbl", "operation", *keys, *values), target.by, values, width).where("born")
-        return state.select(*target.by, *[F.col(f"born_{c}").alias(c) for c in values])
-
-    # Keys touched by special changes, grouped into components by key changes.
-    here, there = F.struct(*keys), F.struct(*[F.col(f"_to_{k}").alias(k) for k in keys])
-    edges = special.select("tbl", here.alias("a"), there.alias("b")).distinct()
-    groups = components(edges)
-
-    touched = groups.select("tbl", *[F.col(f"node.{k}").alias(k) for k in keys], "component")
-    plain = rows.where("NOT _special").select("seq", "tbl", "operation", *keys, *values)
-    rest = summarise(plain.join(touched, target.by, "left_anti"), target.by, values, width).where("born")
-    simple = rest.select(*target.by, *[F.col(f"born_{c}").alias(c) for c in values])
-
-    # Cut each touched key's changes at its special changes.
-    marks = special.select("seq", "tbl", F.explode(F.array_distinct(F.array(here, there))).alias("node"))
-    marks = marks.select("seq", "tbl", F.lit("").alias("operation"), *[F.col(f"node.{k}").alias(k) for k in keys])
-    for c in values:
-        marks = marks.withColumn(c, F.lit(None).cast(plain.schema[c].dataType))
-    log = plain.join(touched.drop("component"), target.by, "left_semi").unionByName(marks)
-    is_mark = F.when(F.col("operation") == "", 1).otherwise(0)
-    cut = segments.running_sum(log, target.by, "seq", is_mark, "_epoch", width).where("operation <> ''")
-    pieces = summarise(cut, [*target.by, "_epoch"], values, width).drop("_epoch")
-
-    items = pieces.withColumn("_special", F.lit(False)).join(touched, target.by)
-    moves = special.join(touched, target.by).select(
-        *target.by, "component", F.col("seq").alias("first_seq"), "_special", "_match",
-        *[f"_to_{k}" for k in keys], *[F.col(c).alias(f"upd_{c}") for c in values],
+    log = changes if raw_log is None else raw_log
+    touched = cut_lineage(_touched(log, target, base))
+    rows = typed_changes(changes, target, base)
+    if touched.isEmpty():
+        return _set_based(after_truncate(rows, log), target, width)
+    rows = cut_lineage(
+        after_truncate(rows, log).join(touched.withColumn("_resolve", F.lit(True)), target.by, "left")
+        .withColumn("_resolve", F.coalesce("_resolve", F.lit(False)))
     )
-    folded = _fold_components(items.unionByName(moves, allowMissingColumns=True), target)
-    return simple.unionByName(folded)
+    simple = _set_based(rows.where("NOT _resolve"), target, width)
+    return simple.unionByName(identity.resolved(rows.where("_resolve").drop("_resolve"), target))
 
 
-def _with_marks(changes: DataFrame, target: Target) -> DataFrame:
-    """Effective changes with `_special`, the key after the change, and the `old` values to test."""
-    keys, values = target.keys, target.values
-    update = F.col("operation") == "UPDATE"
-    old_key = {k: F.col("old")[k].try_cast(target.columns[k]) for k in keys}
-    new_key = {k: F.coalesce(F.col("new")[k].try_cast(target.columns[k]), old_key[k]) for k in keys}
-    moved = F.lit(False)
-    for k in keys:
-        moved = moved | ~new_key[k].eqNullSafe(old_key[k])
-    tested = F.size(F.map_filter("old", lambda c, _: ~c.isin(*keys))) > 0
-    typed = [
-        F.when(F.col("operation") == "INSERT", F.col("new")[k].try_cast(target.columns[k])).otherwise(old_key[k]).alias(k)
-        for k in keys
-    ]
-    return changes.where(apply_status(target) == "applied").select(
-        "seq", "tbl", "operation", *typed,
-        *[F.col("new")[c].try_cast(target.columns[c]).alias(c) for c in values],
-        ((update & moved) | (F.col("operation").isin("UPDATE", "DELETE") & tested)).alias("_special"),
-        *[F.when(update, new_key[k]).when(F.col("operation") == "DELETE", old_key[k]).alias(f"_to_{k}") for k in keys],
-        F.struct(
-            (F.col("operation") == "DELETE").alias("remove"),
-            *[F.col("old")[c].try_cast(target.columns[c]).alias(c) for c in values],
-        ).alias("_match"),
-    )
-
+def _set_based(rows: DataFrame, target: Target, width: int) -> DataFrame:
+    state = summarise(rows.select("seq", "tbl", "operation", *target.keys, *target.values), target.by, target.values, width)
+    return state.where("born").select(*target.by, *[F.col(f"born_{c}").alias(c) for c in target.values])
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected groups of `node`s per table: every node takes the smallest label it can reach.
 
-    Works on the distinct key changes only.  Labels of a node's neighbours are combined
-    before the shuffle.  Each round also follows label to label, which halves long chains.
-    """
-    both = edges.select("tbl", "a", "b").union(edges.select("tbl", F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both.distinct())
-    labels = cut_lineage(both.groupBy("tbl", F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
-    while True:
-        near = (
-            both.join(labels.select("tbl", F.col("node").alias("b"), "component"), ["tbl", "b"])
-            .groupBy("tbl", F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        jump = labels.select("tbl", F.col("node").alias("component"), F.col("component").alias("far"))
-        step = labels.join(near, ["tbl", "node"]).join(jump, ["tbl", "component"], "left")
-        best = F.least("component", "near", F.coalesce("far", "component"))
-        new = cut_lineage(step.select("tbl", "node", best.alias("component"), (best < F.col("component")).alias("moved")))
-        labels = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return labels
+def _touched(log: DataFrame, target: Target, base: DataFrame | None) -> DataFrame:
+    """The keys special changes test or move, once each."""
+    rows = typed_changes(log, target, base if target.many_rows else None).where("_special")
+    there = [F.col(f"_to.{k}").alias(k) for k in target.keys]
+    return rows.select(*target.by).union(rows.where("_to IS NOT NULL").select("tbl", *there)).distinct()
 
 
-def _fold_components(items: DataFrame, target: Target) -> DataFrame:
-    """Fold each component's pieces and special changes in log order.
+def typed_changes(changes: DataFrame, target: Target, base: DataFrame | None = None) -> DataFrame:
+    """Effective changes and the rows of `base`, with the types of the target.
 
-    At most FOLD_ITEMS of a component are folded at a time; a longer component goes on
-    in the next slice from the rows it had reached.
+    `seq`, `tbl`, `operation`, the key, the new values, `_old` (the values to test), `_to` (the
+    key after a change that moves it, else NULL) and `_special`.  Changes of many rows are
+    there once for every row they may meet.
     """
-    keys, values = list(target.keys), target.values
-    by = ["tbl", "component"]
-    sliced = cut_lineage(
-        segments.running_count(items, by, "first_seq", "_n").withColumn("_slice", F.expr(f"(_n - 1) div {FOLD_ITEMS}"))
-    )
-    slices = sliced.agg(F.max("_slice")).first()[0]
-    component = sliced.schema["component"].dataType
-    out = T.StructType(
-        [T.StructField("tbl", T.StringType()), T.StructField("component", component)]
-        + [T.StructField(c, T._parse_datatype_string(target.columns[c])) for c in [*keys, *values]]
+    keys, values = target.keys, target.values
+    operation = F.col("operation")
+    is_update, tests = operation == "UPDATE", operation.isin("UPDATE", "DELETE")
+    typed = {(image, c): F.col(image)[c].try_cast(t) for image in ("old", "new") for c, t in target.columns.items()}
+    moved = F.lit(False)
+    for k in keys:
+        moved = moved | (typed["new", k].isNotNull() & ~typed["new", k].eqNullSafe(typed["old", k]))
+    tested = F.lit(False)
+    for c in values:
+        tested = tested | F.col("old")[c].isNotNull()
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & typed["old", k].isNotNull()
+    to = F.struct(*[F.coalesce(typed["new", k], typed["old", k]).alias(k) for k in keys])
+    rows = changes.where(apply_status(target) == "applied").select(
+        "seq", "tbl", "operation",
+        *[F.when(operation == "INSERT", typed["new", k]).otherwise(typed["old", k]).alias(k) for k in keys],
+        *[typed["new", c].alias(c) for c in values],
+        F.struct(*[F.when(tests, typed["old", c]).alias(c) for c in values]).alias("_old"),
+        F.when(is_update & whole & moved, to).alias("_to"),
+        ((is_update & moved) | (tests & (tested | ~whole))).alias("_special"),
+        *([F.struct(*[typed["old", c].alias(c) for c in target.columns]).alias("_tests"), (tests & ~whole).alias("_wide")] if target.many_rows else []),
     )
-    state = None
-    for number in range(0 if slices is None else slices + 1):
-        part = sliced.where(F.col("_slice") == number).drop("_n", "_slice")
-        if state is not None:
-            carried = state.select(
-                *by, *keys, F.lit(-1).cast("bigint").alias("first_seq"), F.lit(False).alias("_special"),
-                F.lit(False).alias("deleted"), F.lit(True).alias("born"), *[F.col(c).alias(f"born_{c}") for c in values],
-            )
-            part = part.unionByName(carried, allowMissingColumns=True)
-        state = cut_lineage(part.groupBy(*by).applyInArrow(_folder(keys, values, out), out))
-    if state is None:
-        return items.sparkSession.createDataFrame([], out).drop("component")
-    return state.drop("component")
-
-
-def _folder(keys: list[str], values: list[str], schema: T.StructType):
-    arrow = to_arrow_schema(schema)
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows: dict[tuple, dict] = {}
-        items = table.to_pylist()
-        for item in sorted(items, key=lambda i: i["first_seq"]):
-            key = tuple(item[k] for k in keys)
-            overlay = {c: item[f"upd_{c}"] for c in values if item[f"upd_{c}"] is not None}
-            row = rows.get(key)
-            if not item["_special"]:
-                if row is None or item["deleted"]:
-                    rows.pop(key, None)
-                    if item["born"]:
-                        rows[key] = {c: item[f"born_{c}"] for c in values}
-                else:
-                    row.update(overlay)
-                continue
-            test = item["_match"]
-            if row is None or any(test[c] is not None and test[c] != row[c] for c in values):
-                continue
-            if test["remove"]:
-                del rows[key]
-                continue
-            moved = tuple(item[f"_to_{k}"] for k in keys)
-            if moved != key and moved in rows:
-                continue
-            rows.pop(key)
-            rows[moved] = {**row, **overlay}
-        place = {c: items[0][c] for c in ("tbl", "component")}
-        return pa.Table.from_pylist(
-            [{**place, **dict(zip(keys, k)), **r} for k, r in rows.items()], schema=arrow
-        )
-
-    return fold
+    if base is not None:
+        before = _with_base(rows.limit(0).select("seq", "tbl", "operation", *keys, *values), base, target)
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name.startswith("_")]
+        rows = rows.unionByName(before.select("*", *blank).fillna(False, ["_special", *(["_wide"] if target.many_rows else [])]))
+    if not target.many_rows:
+        return rows
+    rows = cut_lineage(rows)
+    wide = rows.where("_wide").drop("_wide")
+    rows = rows.where("NOT _wide").drop("_wide")
+    if wide.isEmpty():
+        return rows.drop("_tests")
+    return rows.unionByName(identity.of_many_rows(rows, wide, target)).drop("_tests")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelog.functions import keys
-from tidelog.operators import apply, dedup
+from tidelog.operators import apply, dedup, segments
 from tidelog.plans import datasets as d
 from tidelog.plans.registry import query
 from tidelog.sources.tables import table
@@ -273,18 +273,87 @@ def state_as_of(spark, sf_dir):
     return apply.state_as_of(d.changes(spark, sf_dir), TARGET, AS_OF_MS, base=_base(spark, sf_dir))
 
 
+# The definition itself: every table's rows as a map, one change after the other.  A test that is
+# NULL holds; a change without `id` meets all rows.
+_MATCH = "(t_kind IS NULL OR {0}.kind = t_kind) AND (t_amt IS NULL OR {0}.amt = t_amt)"
+_ROW = "{{'amt': coalesce(c.amt, {0}.amt), 'kind': coalesce(c.kind, {0}.kind)}}"
+_WITHOUT = "map_from_entries(list_filter(map_entries(state), lambda e: e.key <> c.id))"
+
+
+def _walk_sql(log: str) -> str:
+    hit = f"map_contains(state, c.id) AND {_MATCH.format('state[c.id]')}"
+    return (
+        "WITH RECURSIVE "
+        + _BASE.removeprefix("WITH ").rstrip()
+        + f""",
+log AS ({log}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY seq) AS n FROM log),
+walk AS (
+  SELECT tbl, 0::BIGINT AS n, map_from_entries(list({{'key': id, 'value': {{'amt': amt, 'kind': kind}}}})) AS state
+  FROM base GROUP BY tbl
+  UNION ALL
+  SELECT w.tbl, c.n, CASE
+    WHEN operation = 'TRUNCATE' THEN map_from_entries(map_entries(state)[1:0])
+    WHEN operation = 'INSERT' THEN CASE WHEN map_contains(state, c.id) THEN state
+      ELSE map_concat(state, MAP {{c.id: {{'amt': c.amt, 'kind': c.kind}}}}) END
+    WHEN c.id IS NULL AND operation = 'DELETE'
+      THEN map_from_entries(list_filter(map_entries(state), lambda e: NOT coalesce({_MATCH.format("e.value")}, false)))
+    WHEN c.id IS NULL THEN map_from_entries(list_transform(map_entries(state), lambda e:
+      CASE WHEN {_MATCH.format("e.value")} THEN {{'key': e.key, 'value': {_ROW.format("e.value")}}} ELSE e END))
+    WHEN NOT coalesce({hit}, false) THEN state
+    WHEN operation = 'DELETE' THEN {_WITHOUT}
+    WHEN to_id <> c.id AND map_contains(state, to_id) THEN state
+    ELSE map_concat({_WITHOUT}, MAP {{to_id: {_ROW.format("state[c.id]")}}}) END
+  FROM walk w JOIN numbered c ON c.tbl = w.tbl AND c.n = w.n + 1),
+ended AS (SELECT tbl, max_by(state, n) AS state FROM walk GROUP BY tbl),
+entries AS (SELECT tbl, unnest(map_entries(state)) AS e FROM ended)
+SELECT tbl, e.key AS id, e.value.amt AS amt, e.value.kind AS kind FROM entries"""
+    )
+
+
 def rekeyed(spark, sf_dir):
-    """The log with every 50th UPDATE moving its key, and others testing a second column."""
-    update = F.col("operation") == "UPDATE"
-    moved = F.map_from_arrays(F.array(F.lit("id")), F.array((F.col("id") + 100000).cast("string")))
-    rest = F.map_filter("new", lambda k, _: k != "id")
-    tested = F.map_concat("old", F.map_from_arrays(F.array(F.lit("kind")), F.array(F.lit("click"))))
-    seq = F.col("seq")
-    new = F.when(update & (seq % 50 == 0), F.map_concat(moved, rest)).otherwise(F.col("new"))
-    old = F.when(update & (seq % 50 == 25), tested).otherwise(F.col("old"))
-    return d.with_images(d.changes(spark, sf_dir), new, old)
+    """The log with every 50th UPDATE moving its key, and `old` images that test more than the key.
+
+    They test what the key's previous change brought, if it brought anything: mostly the row as
+    it is, but not where that change did nothing.
+    """
+    before = segments.previous(d.flat_changes(spark, sf_dir), ["tbl", "id"], "seq", F.struct("kind", "amt"), "before")
+    seq, update = F.col("seq"), F.col("operation") == "UPDATE"
+    to = F.when(update & (seq % 50 == 0), F.col("id") + 100000).otherwise(F.col("id")).cast("string")
+    new = F.transform_values(d.new_image(), lambda c, v: F.when(c == "id", to).otherwise(v))
+    tested = F.map_from_arrays(
+        F.array(F.lit("kind"), F.lit("amt")),
+        F.array(F.when(seq % 3 != 0, F.col("before.kind")), F.when(seq % 4 == 1, F.col("before.amt").cast("string"))),
+    )
+    more = F.map_filter(tested, lambda _, v: v.isNotNull() & F.col("operation").isin("UPDATE", "DELETE"))
+    return d.with_images(before, new, F.map_concat(d.old_image(), more))
 
 
-@query("apply_rekey")
+@query(
+    "apply_rekey",
+    _walk_sql("""SELECT seq, tbl, operation, id, amt, kind, CASE WHEN seq % 50 = 0 THEN id + 100000 ELSE id END AS to_id,
+    CASE WHEN seq % 3 <> 0 THEN lag(kind) OVER k END AS t_kind, CASE WHEN seq % 4 = 1 THEN lag(amt) OVER k END AS t_amt
+  FROM changes WINDOW k AS (PARTITION BY tbl, id ORDER BY seq)"""),
+)
 def apply_rekey(spark, sf_dir):
     return apply.apply_general(rekeyed(spark, sf_dir), TARGET, base=_base(spark, sf_dir))
+
+
+@query(
+    "apply_many_rows",
+    _walk_sql("""SELECT seq, tbl, operation, CASE WHEN NOT wide THEN id END AS id, amt, CASE WHEN NOT wide THEN kind END AS kind, id AS to_id,
+    CASE WHEN wide THEN CASE seq % 2 WHEN 0 THEN 'click' ELSE 'signup' END END AS t_kind,
+    CASE WHEN wide AND operation = 'DELETE' THEN amt END AS t_amt
+  FROM (SELECT *, operation IN ('UPDATE', 'DELETE') AND amt IS NOT NULL AND seq % 23 = 5 AS wide FROM changes)"""),
+)
+def apply_many_rows(spark, sf_dir):
+    """The log with some changes that name rows by other columns: all clicks get an amount, some signups go."""
+    seq, op = F.col("seq"), F.col("operation")
+    wide = op.isin("UPDATE", "DELETE") & F.col("amt").isNotNull() & (seq % 23 == 5)
+    amount = F.col("amt").cast("string")
+    kind = F.when(seq % 2 == 0, "click").otherwise("signup")
+    names = F.map_from_arrays(F.array(F.lit("kind"), F.lit("amt")), F.array(kind, F.when(op == "DELETE", amount)))
+    old = F.when(wide, F.map_filter(names, lambda _, v: v.isNotNull())).otherwise(d.old_image())
+    new = F.when(wide & (op == "UPDATE"), F.map_from_arrays(F.array(F.lit("amt")), F.array(amount))).otherwise(d.new_image())
+    target = apply.Target(TARGET.keys, TARGET.columns, many_rows=True)
+    return apply.apply_general(d.with_images(d.flat_changes(spark, sf_dir), new, old), target, base=_base(spark, sf_dir))

@@ -46,12 +46,43 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Whether Spark deletes the shuffle files of a query when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")  # nothing reads the shuffles behind a written table again
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to a table of its own in the shared checkpoint folder, and read back.
 
     What was written survives the loss of executors, is read column by column, and its
     size is known to the optimizer, which can so pick a broadcast join by measured size.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, f"{checkpoint_root(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
+class Steps:
+    """Tables written between jobs that go together, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._folder = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+        self._count = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self._count += 1
+        return _write(df, f"{self._folder}/{self._count}")
+
+    def clear(self) -> None:
+        """Delete them.  What is computed from them must have been written before."""
+        path = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
