@@ -1,13 +1,13 @@
 import random
-import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from test_apply import SCHEMA, TARGET, fold, random_log, rows
-from tidelog.operators import dedup as batch_dedup, replay
-from tidelog.sources import logs, versions
+from tidelog.operators import apply, dedup as batch_dedup, replay
+from tidelog.sources import logs
 from tidelog.streaming import capture, dedup
-from tidelog.streaming.target import StreamTarget, release
+from tidelog.streaming.target import maintain, maintained, release
 
 
 def write(spark, data, schema, path):
@@ -66,30 +66,28 @@ def test_tail_chunks_run_on_over_batches(spark, tmp_path):
     assert sorted(got) == [(i, i // 10) for i in range(40)]
 
 
-def test_target_matches_fold_with_compaction_and_rerun(spark, tmp_path):
-    log = random_log(random.Random(11), 120)
-    target = StreamTarget(spark, f"{tmp_path}/t", TARGET, compact_every=2)
-    for n in range(4):
-        batch = spark.createDataFrame(log[30 * n : 30 * (n + 1)], SCHEMA)
-        target.write(batch, n)
-        if n in (1, 2):
-            target.write(batch, n)  # a batch run again after a crash
+@pytest.mark.parametrize("many_rows", [False, True])
+def test_maintained_target_matches_fold_over_a_restart(spark, tmp_path, many_rows):
+    target = apply.Target(TARGET.keys, TARGET.columns, many_rows)
+    log = random_log(random.Random(11), 200, rekey=0.03, full=0.3, wide=0.2 if many_rows else 0)
+    src, progress = f"{tmp_path}/src", f"{tmp_path}/progress"
+    moves = [c for c in log if c[2] == "UPDATE" and c[3].get("id", c[4].get("id")) != c[4].get("id", c[3].get("id"))]
+
+    def run():
+        stream = logs.stream_log(spark, src, spark.createDataFrame([], SCHEMA).schema, files_per_trigger=1)
+        sink = lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/rejected/batch={n}")
+        capture.run(maintain(stream, target, buckets=3), sink, progress).awaitTermination()
+
+    write(spark, log[:80], SCHEMA, src)
+    run()
+    write(spark, log[80:130], SCHEMA, src)
+    write(spark, log[130:], SCHEMA, src)
+    run()
     key = lambda r: tuple((v is None, v) for v in r)
-    assert sorted(rows(target.read()), key=key) == sorted(fold(log), key=key)
-    assert versions.published(spark, f"{tmp_path}/t/base") == [1, 3]
-    versions.vacuum(spark, f"{tmp_path}/t/base", keep=1)
-    assert versions.published(spark, f"{tmp_path}/t/base") == [3]
-
-
-def test_unpublished_version_is_not_seen(spark, tmp_path):
-    path = f"{tmp_path}/v"
-    versions.publish(spark, path, 0, {"a": spark.range(3), "b": spark.range(4)})
-    spark.range(9).write.parquet(f"{path}/v=1/a")  # crashed before the marker
-    assert versions.latest(spark, path) == 0
-    assert versions.read(spark, path, 0, "b").count() == 4
-    versions.publish(spark, path, 1, {"a": spark.range(5), "b": spark.range(4)})
-    assert versions.latest(spark, path) == 1 and versions.latest(spark, path, before=1) == 0
-    shutil.rmtree(path)
+    kept = [c for c in log if c not in moves]
+    assert sorted(rows(maintained(spark, progress, target)), key=key) == sorted(fold(kept, many_rows=many_rows), key=key)
+    rejected = {r.seq for r in capture.committed(spark, f"{tmp_path}/rejected").collect()}
+    assert rejected >= {c[0] for c in moves if "amt" not in c[4] or c[4]["amt"] != "n/a"} - {c[0] for c in log if not c[3] or not c[4]}
 
 
 def test_release_waits_for_each_slot(spark):

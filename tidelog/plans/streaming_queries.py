@@ -15,7 +15,7 @@ from tidelog.session import checkpoint_root
 from tidelog.sources import logs
 from tidelog.sources.tables import table
 from tidelog.streaming import capture, dedup
-from tidelog.streaming.target import StreamTarget
+from tidelog.streaming.target import maintain, maintained
 
 _FILES = 4
 
@@ -152,7 +152,6 @@ def stream_dedup(spark, sf_dir):
 def stream_apply(spark, sf_dir):
     root = _folder(spark)
     log = d.changes(spark, sf_dir).select("seq", "tbl", "operation", "old", "new")
-    target = StreamTarget(spark, f"{root}/target", state_queries.TARGET, compact_every=2)
-    stream = _in_order(log, f"{root}/log", "seq")
-    capture.run(stream, target.write, f"{root}/progress").awaitTermination()
-    return target.read()
+    stream = maintain(_in_order(log, f"{root}/log", "seq"), state_queries.TARGET)
+    capture.run(stream, _append_to(f"{root}/rejected"), f"{root}/progress").awaitTermination()
+    return maintained(spark, f"{root}/progress", state_queries.TARGET)

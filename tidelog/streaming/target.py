@@ -1,49 +1,136 @@
-"""A target table that a stream of changes keeps up to date."""
+"""A target table that a stream of changes keeps up to date, as the state of the stream."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidelog.operators.apply import Target, apply_log
-from tidelog.sources import versions
+from tidelog.operators.apply import Target, apply_status
 from tidelog.streaming.capture import Sink
+from tidelog.streaming.state import BUCKET, BUCKETS, BucketState, bucket_of, stored_rows, use_state_store
 
+_OLD = "_old_"
 
-class StreamTarget:
-    """Rows of a target as the last compacted version plus the changes since.
 
-    A micro-batch only adds its changes, in a folder of its own that a rerun replaces.
-    Every `compact_every` batches the changes are folded into a new version, published
-    when complete.  Reading folds what came after the last version.
+def maintain(changes: DataFrame, target: Target, buckets: int = BUCKETS) -> DataFrame:
+    """Apply a stream of changes to the rows in its state; the result is the changes it rejects.
+
+    The streaming twin of `apply_log`.  Micro-batches must follow the log; within one, `seq`
+    orders.  A table's rows are spread over buckets of keys, kept as text in the state of the
+    stream.  TRUNCATE and, with `target.many_rows`, changes without the whole key go to all
+    buckets of their table.  Rejected (`seq`, `tbl`, `operation`, `reason`) are changes in error
+    and moves to another key, which may belong to another bucket: they need `apply_log`.
     """
+    use_state_store(changes.sparkSession)
+    keys, columns = list(target.keys), list(target.columns)
+    op, text = F.col("operation"), lambda image, c: F.col(image)[c].try_cast(target.columns[c]).cast("string")
+    named, moves = F.lit(True), F.lit(False)
+    for k in keys:
+        named = named & text("old", k).isNotNull()
+        moves = moves | (text("new", k).isNotNull() & ~text("new", k).eqNullSafe(text("old", k)))
+    tests = op.isin("UPDATE", "DELETE")
+    everywhere = (op == "TRUNCATE") | (tests & ~named)
+    status = apply_status(target)
+    reason = F.when(status == "apply_error", status).when((op == "UPDATE") & named & moves, "moves its key")
+    here = [F.when(op == "INSERT", text("new", k)).otherwise(text("old", k)) for k in keys]
+    one = F.array(bucket_of(*here, buckets=buckets))
+    typed = changes.where(status != "noop").select(
+        "seq", "tbl", "operation", reason.alias("reason"),
+        *[c.alias(k) for k, c in zip(keys, here)], *[text("new", c).alias(c) for c in target.values],
+        *[F.when(tests, text("old", c)).alias(_OLD + c) for c in columns],
+        F.explode(F.when(reason.isNull() & everywhere, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(one)).alias(BUCKET),
+    )
+    return typed.groupBy("tbl", BUCKET).transformWithStateInPandas(
+        _Rows(keys, columns, typed.columns), "seq long, tbl string, operation string, reason string", "Append", "None"
+    )
+
+
+def maintained(spark: SparkSession, checkpoint: str, target: Target) -> DataFrame:
+    """The target's rows as of the last finished micro-batch of the stream with this checkpoint."""
+    columns = ["tbl", *target.columns]
+    rows = stored_rows(spark, checkpoint, ", ".join(f"`{c}` string" for c in columns), columns)
+    return rows.select("tbl", *[F.col(c).cast(t).alias(c) for c, t in target.columns.items()])
+
+
+class _Rows(BucketState):
+    """The rows of one table whose keys fall into one bucket."""
+
+    def __init__(self, keys: list[str], columns: list[str], names: list[str]) -> None:
+        self._keys, self._columns, self._names = keys, columns, names
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows = self.whole(rows, self._names)
+        bad = rows["reason"].notna().to_numpy()
+        changes = rows[~bad].sort_values("seq", kind="stable")
+        if len(changes):
+            state, stored = self.load(), np.zeros((0, len(self._columns)), object)
+            if state is not None:
+                stored = np.array([state[c].to_pylist() for c in self._columns], object).T.reshape(-1, len(self._columns))
+            stored = self._advance(stored, changes)
+            arrays = [pa.array([key[0]] * len(stored), pa.string()), *[pa.array(c, pa.string()) for c in stored.T]]
+            self.store(pa.Table.from_arrays(arrays, ["tbl", *self._columns]))
+        yield rows.loc[bad, ["seq", "tbl", "operation", "reason"]]
+
+    def _advance(self, stored: np.ndarray, changes: pd.DataFrame) -> np.ndarray:
+        op = changes["operation"].to_numpy()
+        emptied = np.flatnonzero(op == "TRUNCATE")
+        if len(emptied):
+            stored, changes = stored[:0], changes.iloc[emptied[-1] + 1 :]
+            op = op[emptied[-1] + 1 :]
+        text = lambda names: changes[names].astype(object).where(changes[names].notna(), None).to_numpy()
+        new, old = text(self._columns), text([_OLD + c for c in self._columns])
+        width = len(self._keys)
+        at_keys = [self._columns.index(k) for k in self._keys]
+        wide = np.flatnonzero((op != "INSERT") & np.equal(old[:, at_keys], None).any(1))
+        start = 0
+        for end in [*wide, len(op)]:
+            part = slice(start, end)
+            stored = self._each_key(stored, op[part], new[part], old[part], at_keys)
+            if end < len(op) and width:
+                tested = np.equal(old[end], None)
+                hit = (tested | (stored == old[end])).all(1)
+                if op[end] == "DELETE":
+                    stored = stored[~hit]
+                else:
+                    shown = ~np.equal(new[end], None)
+                    shown[at_keys] = False
+                    stored[np.ix_(hit, shown)] = new[end][shown]
+            start = end + 1
+        return stored
 
-    def __init__(self, spark: SparkSession, path: str, target: Target, compact_every: int = 20) -> None:
-        self._spark, self._path, self._target, self._every = spark, path, target, compact_every
-
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        columns = ["seq", "tbl", "operation", "old", "new"]
-        batch.select(*columns).write.mode("overwrite").parquet(f"{self._path}/changes/batch={batch_id}")
-        if (batch_id + 1) % self._every == 0:
-            self.compact(batch_id)
-
-    def compact(self, batch_id: int) -> None:
-        rows = self._fold(versions.latest(self._spark, f"{self._path}/base", before=batch_id), batch_id)
-        versions.publish(self._spark, f"{self._path}/base", batch_id, {"rows": rows})
-
-    def read(self) -> DataFrame:
-        return self._fold(versions.latest(self._spark, f"{self._path}/base"), None)
-
-    def _fold(self, version: int | None, upto: int | None) -> DataFrame:
-        changes = self._spark.read.parquet(f"{self._path}/changes")  # `batch` prunes folders
-        if version is not None:
-            changes = changes.where(F.col("batch") > version)
-        if upto is not None:
-            changes = changes.where(F.col("batch") <= upto)
-        base = None if version is None else versions.read(self._spark, f"{self._path}/base", version, "rows")
-        return apply_log(changes, self._target, base)
+    def _each_key(self, stored: np.ndarray, op: np.ndarray, new: np.ndarray, old: np.ndarray, at_keys: list[int]) -> np.ndarray:
+        """Changes of single keys: the first of every key, then the second, and so on."""
+        if not len(op):
+            return stored
+        named = pd.MultiIndex.from_arrays([np.r_[stored[:, i], new[:, i]] for i in at_keys])
+        code, names = pd.factorize(named)
+        row_code, code = code[: len(stored)], code[len(stored) :]
+        alive = np.zeros(len(names), bool)
+        alive[row_code] = True
+        rows = np.full((len(names), len(self._columns)), None, object)
+        rows[row_code] = stored
+        order = np.argsort(code, kind="stable")
+        count = np.bincount(code, minlength=len(names))
+        first = np.cumsum(count) - count
+        keys, turn = np.flatnonzero(count), 0
+        while len(keys):
+            i = order[first[keys] + turn]
+            held = alive[keys] & (np.equal(old[i], None) | (rows[keys] == old[i])).all(1)
+            born = (op[i] == "INSERT") & ~alive[keys]
+            rows[keys[born]] = new[i[born]]
+            alive[keys[born]] = True
+            changed = (op[i] == "UPDATE") & held
+            k, n = keys[changed], new[i[changed]]
+            rows[k] = np.where(np.equal(n, None), rows[k], n)
+            alive[keys[(op[i] == "DELETE") & held]] = False
+            turn += 1
+            keys = keys[count[keys] > turn]
+        return rows[alive]
 
 
 def release(
