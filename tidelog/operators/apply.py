@@ -264,22 +264,17 @@ def apply_general(
 ) -> DataFrame:
     """Target rows after a log that may change keys, test other columns in `old`, or name many rows.
 
-    A *special* change does one of these.  Keys no special change touches go the set-based
-    way; the others are resolved row by row of the target (`identity`).  A key change onto an
+    A *special* change does one of these.  A log without goes the set-based way, others are
+    resolved row by row of the target (`identity`).  A key change onto an
     existing key violates the unique key and is an error that leaves both rows alone.  With
     `target.many_rows`, a change whose `old` lacks key columns meets all rows that match it.
     """
     log = changes if raw_log is None else raw_log
-    touched = cut_lineage(_touched(log, target, base))
-    rows = typed_changes(changes, target, base)
-    if touched.isEmpty():
-        return _set_based(after_truncate(rows, log), target, width)
-    rows = cut_lineage(
-        after_truncate(rows, log).join(touched.withColumn("_resolve", F.lit(True)), target.by, "left")
-        .withColumn("_resolve", F.coalesce("_resolve", F.lit(False)))
-    )
-    simple = _set_based(rows.where("NOT _resolve"), target, width)
-    return simple.unionByName(identity.resolved(rows.where("_resolve").drop("_resolve"), target))
+    rows = after_truncate(typed_changes(changes, target, base), log)
+    # One look at the images; most logs have no special change and are not read again before they are summed up.
+    if typed_changes(log, target).where("_special").isEmpty():
+        return _set_based(rows, target, width)
+    return identity.resolved(cut_lineage(rows), target)
 
 
 def _set_based(rows: DataFrame, target: Target, width: int) -> DataFrame:
@@ -287,13 +282,6 @@ def _set_based(rows: DataFrame, target: Target, width: int) -> DataFrame:
     return state.where("born").select(*target.by, *[F.col(f"born_{c}").alias(c) for c in target.values])
 
 
-def _touched(log: DataFrame, target: Target, base: DataFrame | None) -> DataFrame:
-    """The keys special changes test or move, once each."""
-    rows = typed_changes(log, target, base if target.many_rows else None).where("_special")
-    there = [F.col(f"_to.{k}").alias(k) for k in target.keys]
-    return rows.select(*target.by).union(rows.where("_to IS NOT NULL").select("tbl", *there)).distinct()
-
-
 def typed_changes(changes: DataFrame, target: Target, base: DataFrame | None = None) -> DataFrame:
     """Effective changes and the rows of `base`, with the types of the target.
 

@@ -54,7 +54,7 @@ def check_and_mark(df: DataFrame, ledger: DataFrame, order: list[str]) -> DataFr
 
 
 def dedup_by_ttl(
-    df: DataFrame, time: str, order: str, ttl_ms: int = TTL_MS, key: str = KEY, slices: int = 1024
+    df: DataFrame, time: str, order: str, ttl_ms: int = TTL_MS, key: str = KEY, slices: int = 1024, limit: int = 2048
 ) -> DataFrame:
     """The deliveries that are applied: `key`, `time` (epoch ms), `order`.
 
@@ -62,28 +62,48 @@ def dedup_by_ttl(
     one of its key; at exactly `ttl_ms` it is applied again.  Of several at one instant the
     least `order` counts.  A row without key or time is a delivery of nothing and not in the result.
 
-    Every delivery points to the first one at or after its own expiry; the applied ones are
-    those a key's first delivery leads to.  Pointers are doubled, so a chain of n takes
-    log2(n) rounds, and after k rounds only deliveries with 2^k more to come are left.
+    The instants of a key are walked in order by one higher-order function.  A key with more than
+    `limit` of them is no task's work: there every instant points to the first one at or after
+    its own expiry, and the applied ones are those the first instant leads to.  Pointers are
+    doubled, so a chain of n takes log2(n) rounds, and after k rounds only instants with 2^k
+    more to come are left.
     """
     # Written once: the key is computed from whole row images and is read several times.
     known = F.col(key).isNotNull() & F.col(time).isNotNull()
     instants = cut_lineage(df.where(known).groupBy(key, time).agg(F.min(order).alias(order)))
-    keys = instants.groupBy(key).agg(F.min(F.struct(time, order)).alias("_first"), F.max(time).alias("_last"))
-    # A key that is not seen again past its first expiry is done.
-    seen_again = F.col("_last") >= F.col(f"_first.{time}") + ttl_ms
-    keys = cut_lineage(keys.select(key, "_first.*", seen_again.alias("_again")))
-    again = keys.where("_again")
-    open_ = instants.join(again.select(key), key, "left_semi").select(key, F.col(time).alias("_at"))
-    jumps = cut_lineage(_next_after_expiry(open_, ttl_ms, key, slices))
-    reached = again.select(key, F.col(time).alias("_from"))
+    long = cut_lineage(instants.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key))
+    walked = _walk(instants.join(long, key, "left_anti"), time, order, ttl_ms, key)
+    if long.isEmpty():
+        return walked
+    return walked.union(_follow(instants.join(long, key, "left_semi"), time, order, ttl_ms, key, slices))
+
+
+def _walk(instants: DataFrame, time: str, order: str, ttl_ms: int, key: str) -> DataFrame:
+    instant = F.struct(F.col(time), F.col(order))
+    listed = instants.groupBy(key).agg(F.sort_array(F.collect_list(instant)).alias("_all"))
+
+    def step(applied: Column, i: Column) -> Column:
+        due = F.element_at(applied, -1)[time] + ttl_ms
+        return F.when(i[time] >= due, F.concat(applied, F.array(i))).otherwise(applied)
+
+    # A key delivered once has nothing to walk.
+    chain = F.when(F.size("_all") == 1, F.col("_all")).otherwise(
+        F.aggregate(F.slice("_all", 2, F.size("_all")), F.slice("_all", 1, 1), step)
+    )
+    return listed.select(key, F.explode(chain).alias("_x")).select(key, f"_x.{time}", f"_x.{order}")
+
+
+def _follow(instants: DataFrame, time: str, order: str, ttl_ms: int, key: str, slices: int) -> DataFrame:
+    jumps = cut_lineage(_next_after_expiry(instants.select(key, F.col(time).alias("_at")), ttl_ms, key, slices))
+    powers = []  # pointers over 1, 2, 4, ... applied deliveries
     while not jumps.isEmpty():
-        ahead = reached.join(jumps, [key, "_from"]).select(key, F.col("_to").alias("_from"))
-        reached = cut_lineage(reached.union(ahead))
+        powers.append(jumps)
         rest = jumps.select(key, F.col("_from").alias("_to"), F.col("_to").alias("_end"))
         jumps = cut_lineage(jumps.join(rest, [key, "_to"]).select(key, "_from", F.col("_end").alias("_to")))
-    chains = instants.join(reached.withColumnRenamed("_from", time), [key, time])
-    return keys.where("NOT _again").select(key, time, order).union(chains.select(key, time, order))
+    reached = cut_lineage(instants.groupBy(key).agg(F.min(time).alias("_from")))
+    for power in reversed(powers):
+        reached = cut_lineage(reached.union(reached.join(power, [key, "_from"]).select(key, F.col("_to").alias("_from"))))
+    return instants.join(reached.withColumnRenamed("_from", time), [key, time]).select(key, time, order)
 
 
 def _next_after_expiry(instants: DataFrame, ttl_ms: int, key: str, slices: int) -> DataFrame:

@@ -37,12 +37,11 @@ ARRIVE = "ARRIVE"
 
 
 def resolved(rows: DataFrame, target: apply.Target, limit: int | None = None, width: int | None = None) -> DataFrame:
-    """Target rows after all changes of some keys.
+    """Target rows after a log.
 
     `rows` are what `apply.typed_changes` makes of changes past the last TRUNCATE: with
-    `_old`, the values to test, `_to`, the key after a move, and `_special`.  With every key of
-    a move, the key it moves to and its changes must be among them.  `limit` and `width`
-    replace `LIMIT` and `WIDTH`.
+    `_old`, the values to test, `_to`, the key after a move, and `_special`; they are read several
+    times and should be a written table.  `limit` and `width` replace `LIMIT` and `WIDTH`.
     """
     limit, width = limit or LIMIT, width or WIDTH
     keys, values = list(target.keys), target.values

@@ -113,18 +113,19 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redeliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries again and again: every 8th change twelve times, the others once.
+    """Deliveries again and again: every change one to twelve times, a third of them under one key.
 
     By change the gaps are a third of the time to live, 1 ms short of it, exactly it, and
     0.6 times it (so that every second one applies); a few copies come at one instant.
     """
     gap = F.element_at(F.array(*[F.lit(g).cast("bigint") for g in GAPS_MS]), (F.col("seq") % 5 + 1).cast("int"))
-    copies = F.sequence(F.lit(0), F.when(F.col("seq") % 8 == 0, 11).otherwise(0))
+    copies = F.sequence(F.lit(0), (F.col("seq") % 12).cast("int"))
+    key = F.when(F.col("seq") % 3 == 0, F.lit("key-hot")).otherwise(F.concat(F.lit("key-"), F.col("seq").cast("string")))
     return (
         flat_changes(spark, sf_dir)
         .select("publish_ms", "seq", F.explode(copies).alias("copy"))
         .select(
-            F.concat(F.lit("key-"), F.col("seq").cast("string")).alias("idempotency_key"),
+            key.alias("idempotency_key"),
             (F.col("publish_ms") + F.col("copy") * gap).alias("delivered_ms"),
             (F.col("seq") * 12 + F.col("copy")).alias("delivery"),
         )
@@ -296,10 +297,10 @@ CTE: dict[str, str] = {
     ELSE 3600000 END AS delivered_ms, k.seq * 2 + c.copy AS delivery
   FROM keyed k JOIN (VALUES (0), (1)) c(copy) ON c.copy = 0 OR k.seq % 7 = 0)""",
     "redeliveries": f"""redeliveries AS (
-  SELECT 'key-' || CAST(seq AS VARCHAR) AS idempotency_key, seq * 12 + c.copy AS delivery,
+  SELECT CASE WHEN seq % 3 = 0 THEN 'key-hot' ELSE 'key-' || CAST(seq AS VARCHAR) END AS idempotency_key, seq * 12 + c.copy AS delivery,
     publish_ms + c.copy * CASE seq % 5 WHEN 0 THEN {GAPS_MS[0]} WHEN 1 THEN {GAPS_MS[1]} WHEN 2 THEN {GAPS_MS[2]}
       WHEN 3 THEN {GAPS_MS[3]} ELSE {GAPS_MS[4]} END AS delivered_ms
-  FROM changes JOIN range(12) c(copy) ON c.copy = 0 OR seq % 8 = 0)""",
+  FROM changes JOIN range(12) c(copy) ON c.copy <= seq % 12)""",
     "ledger": """ledger AS (
   SELECT idempotency_key, publish_ms AS processed_at, 'job-' || CAST(part AS VARCHAR) AS job_id,
     publish_ms + 604800000 AS expires_at

@@ -79,20 +79,19 @@ def check_and_mark(spark, sf_dir):
     return marked.select("idempotency_key", "delivery")
 
 
-# The definition itself, one delivery after the other: `last` is the last applied one.
+# The definition itself, from one applied delivery of a key to the next.
 _TTL = (
     "WITH RECURSIVE "
     + d.with_ctes("changes", "redeliveries").removeprefix("WITH ").rstrip()
     + f""",
-numbered AS (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY delivered_ms, delivery) AS n FROM redeliveries),
 walk AS (
-  SELECT idempotency_key, delivery, delivered_ms, n, delivered_ms AS last, true AS applied FROM numbered WHERE n = 1
+  SELECT idempotency_key, min(delivered_ms) AS last FROM redeliveries GROUP BY idempotency_key
   UNION ALL
-  SELECT r.idempotency_key, r.delivery, r.delivered_ms, r.n,
-    CASE WHEN r.delivered_ms >= w.last + {dedup.TTL_MS} THEN r.delivered_ms ELSE w.last END,
-    r.delivered_ms >= w.last + {dedup.TTL_MS}
-  FROM walk w JOIN numbered r ON r.idempotency_key = w.idempotency_key AND r.n = w.n + 1)
-SELECT delivery, idempotency_key, delivered_ms FROM walk WHERE applied"""
+  SELECT w.idempotency_key, min(r.delivered_ms) FROM walk w
+  JOIN redeliveries r ON r.idempotency_key = w.idempotency_key AND r.delivered_ms >= w.last + {dedup.TTL_MS}
+  GROUP BY w.idempotency_key)
+SELECT min(delivery) AS delivery, w.idempotency_key, last AS delivered_ms FROM walk w
+JOIN redeliveries r ON r.idempotency_key = w.idempotency_key AND r.delivered_ms = last GROUP BY w.idempotency_key, last"""
 )
 
 
@@ -273,41 +272,37 @@ def state_as_of(spark, sf_dir):
     return apply.state_as_of(d.changes(spark, sf_dir), TARGET, AS_OF_MS, base=_base(spark, sf_dir))
 
 
-# The definition itself: every table's rows as a map, one change after the other.  A test that is
-# NULL holds; a change without `id` meets all rows.
-_MATCH = "(t_kind IS NULL OR {0}.kind = t_kind) AND (t_amt IS NULL OR {0}.amt = t_amt)"
-_ROW = "{{'amt': coalesce(c.amt, {0}.amt), 'kind': coalesce(c.kind, {0}.kind)}}"
-_WITHOUT = "map_from_entries(list_filter(map_entries(state), lambda e: e.key <> c.id))"
-
-
+# The definition itself, one change after the other: the row of a key, and the one it moves to
+# (`b_*`).  A test that is NULL holds; TRUNCATE and changes without `id` come to every key.
 def _walk_sql(log: str) -> str:
-    hit = f"map_contains(state, c.id) AND {_MATCH.format('state[c.id]')}"
+    hit = "alive AND (t_kind IS NULL OR w.kind = t_kind) AND (t_amt IS NULL OR w.amt = t_amt)"
+    stays, goes = f"operation = 'UPDATE' AND {hit} AND NOT moves", f"operation = 'UPDATE' AND {hit} AND moves AND NOT b_alive"
     return (
         "WITH RECURSIVE "
         + _BASE.removeprefix("WITH ").rstrip()
         + f""",
 log AS ({log}),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY tbl ORDER BY seq) AS n FROM log),
+ids AS (SELECT tbl, id FROM base UNION SELECT tbl, id FROM changes),
+met AS (SELECT * FROM log WHERE id IS NOT NULL AND operation <> 'TRUNCATE'
+  UNION ALL SELECT l.* REPLACE (i.id AS id) FROM log l JOIN ids i ON i.tbl = l.tbl WHERE l.id IS NULL OR operation = 'TRUNCATE'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tbl, id ORDER BY seq) AS n FROM met),
 walk AS (
-  SELECT tbl, 0::BIGINT AS n, map_from_entries(list({{'key': id, 'value': {{'amt': amt, 'kind': kind}}}})) AS state
-  FROM base GROUP BY tbl
+  SELECT i.tbl, i.id, 0::BIGINT AS n, b.id IS NOT NULL AS alive, b.amt, b.kind, false AS b_alive,
+    NULL::DOUBLE AS b_amt, NULL::VARCHAR AS b_kind
+  FROM ids i LEFT JOIN base b ON b.tbl = i.tbl AND b.id = i.id
   UNION ALL
-  SELECT w.tbl, c.n, CASE
-    WHEN operation = 'TRUNCATE' THEN map_from_entries(map_entries(state)[1:0])
-    WHEN operation = 'INSERT' THEN CASE WHEN map_contains(state, c.id) THEN state
-      ELSE map_concat(state, MAP {{c.id: {{'amt': c.amt, 'kind': c.kind}}}}) END
-    WHEN c.id IS NULL AND operation = 'DELETE'
-      THEN map_from_entries(list_filter(map_entries(state), lambda e: NOT coalesce({_MATCH.format("e.value")}, false)))
-    WHEN c.id IS NULL THEN map_from_entries(list_transform(map_entries(state), lambda e:
-      CASE WHEN {_MATCH.format("e.value")} THEN {{'key': e.key, 'value': {_ROW.format("e.value")}}} ELSE e END))
-    WHEN NOT coalesce({hit}, false) THEN state
-    WHEN operation = 'DELETE' THEN {_WITHOUT}
-    WHEN to_id <> c.id AND map_contains(state, to_id) THEN state
-    ELSE map_concat({_WITHOUT}, MAP {{to_id: {_ROW.format("state[c.id]")}}}) END
-  FROM walk w JOIN numbered c ON c.tbl = w.tbl AND c.n = w.n + 1),
-ended AS (SELECT tbl, max_by(state, n) AS state FROM walk GROUP BY tbl),
-entries AS (SELECT tbl, unnest(map_entries(state)) AS e FROM ended)
-SELECT tbl, e.key AS id, e.value.amt AS amt, e.value.kind AS kind FROM entries"""
+  SELECT w.tbl, w.id, c.n,
+    CASE WHEN operation = 'INSERT' THEN true WHEN operation = 'TRUNCATE' OR (operation = 'DELETE' AND {hit}) OR ({goes}) THEN false
+      ELSE alive END,
+    CASE WHEN operation = 'INSERT' AND NOT alive THEN c.amt WHEN {stays} THEN coalesce(c.amt, w.amt) ELSE w.amt END,
+    CASE WHEN operation = 'INSERT' AND NOT alive THEN c.kind WHEN {stays} THEN coalesce(c.kind, w.kind) ELSE w.kind END,
+    CASE WHEN operation = 'TRUNCATE' THEN false WHEN {goes} THEN true ELSE b_alive END,
+    CASE WHEN {goes} THEN coalesce(c.amt, w.amt) ELSE b_amt END,
+    CASE WHEN {goes} THEN coalesce(c.kind, w.kind) ELSE b_kind END
+  FROM walk w JOIN numbered c ON c.tbl = w.tbl AND c.id = w.id AND c.n = w.n + 1),
+ended AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY tbl, id ORDER BY n DESC) = 1)
+SELECT tbl, id, amt, kind FROM ended WHERE alive
+UNION ALL SELECT tbl, id + 100000, b_amt, b_kind FROM ended WHERE b_alive"""
     )
 
 
@@ -331,7 +326,7 @@ def rekeyed(spark, sf_dir):
 
 @query(
     "apply_rekey",
-    _walk_sql("""SELECT seq, tbl, operation, id, amt, kind, CASE WHEN seq % 50 = 0 THEN id + 100000 ELSE id END AS to_id,
+    _walk_sql("""SELECT seq, tbl, operation, id, amt, kind, seq % 50 = 0 AS moves,
     CASE WHEN seq % 3 <> 0 THEN lag(kind) OVER k END AS t_kind, CASE WHEN seq % 4 = 1 THEN lag(amt) OVER k END AS t_amt
   FROM changes WINDOW k AS (PARTITION BY tbl, id ORDER BY seq)"""),
 )
@@ -341,7 +336,7 @@ def apply_rekey(spark, sf_dir):
 
 @query(
     "apply_many_rows",
-    _walk_sql("""SELECT seq, tbl, operation, CASE WHEN NOT wide THEN id END AS id, amt, CASE WHEN NOT wide THEN kind END AS kind, id AS to_id,
+    _walk_sql("""SELECT seq, tbl, operation, CASE WHEN NOT wide THEN id END AS id, amt, CASE WHEN NOT wide THEN kind END AS kind, false AS moves,
     CASE WHEN wide THEN CASE seq % 2 WHEN 0 THEN 'click' ELSE 'signup' END END AS t_kind,
     CASE WHEN wide AND operation = 'DELETE' THEN amt END AS t_amt
   FROM (SELECT *, operation IN ('UPDATE', 'DELETE') AND amt IS NOT NULL AND seq % 23 = 5 AS wide FROM changes)"""),
