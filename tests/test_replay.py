@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidelog.operators import browse, jobs, replay
+from tidelog.sources import archive as stored
 
 ARCHIVE = "part int, off bigint, publish_ms bigint, seq bigint"
 
@@ -50,10 +51,36 @@ def test_archive_range_matches_scan(spark, seed):
     assert strict == sum(10 <= r[2] <= 30 for r in rows)
 
 
-def test_archive_range_prunes_a_stored_archive(spark, tmp_path):
+@pytest.mark.parametrize("seed", range(2))
+def test_archive_range_reads_only_needed_files(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = archive(rng)
+    path = f"{tmp_path}/archive"
+    stored.store(spark.createDataFrame(rows, ARCHIVE), path, file_rows=5)
+    files = {r.file for r in stored.zones(spark, path).collect()}
+    assert len(files) >= 24
+    for checkpoint in ({}, {0: 10}, {0: 39, 1: 0, 7: 5}):
+        start = rng.randrange(60)
+        end = start + rng.randrange(20)
+        found = stored.read_range(spark, path, start, end, checkpoint)
+        assert sorted((r.part, r.off) for r in found.collect()) == scan(rows, start, end, checkpoint)
+        plain = replay.archive_frontier(spark.createDataFrame(rows, ARCHIVE), start, checkpoint)
+        frontier = stored.read_frontier(spark, path, start, checkpoint)
+        assert sorted((r.part, r.frontier) for r in frontier.collect()) == sorted((r.part, r.frontier) for r in plain.collect())
+        wanted = stored.needed(stored.zones(spark, path), start, end, checkpoint)
+        opened = stored.read_files(spark, path, wanted)
+        base = lambda files: {f.rpartition("/")[2] for f in files}
+        assert base(opened.inputFiles()) == base(r.file for r in wanted.collect())
+        if not checkpoint:
+            assert len(opened.inputFiles()) < len(files)
+    strict = stored.read_range(spark, path, 10, 30, strict=True)
+    assert strict.count() == sum(10 <= r[2] <= 30 for r in rows) and len(strict.inputFiles()) < len(files)
+
+
+def test_archive_range_pushes_its_range_down(spark, tmp_path):
     rows = archive(random.Random(9))
-    spark.createDataFrame(rows, ARCHIVE).write.parquet(f"{tmp_path}/archive")
-    found = replay.archive_range(spark.read.parquet(f"{tmp_path}/archive"), 10, 40)
+    stored.store(spark.createDataFrame(rows, ARCHIVE), f"{tmp_path}/archive", file_rows=10)
+    found = stored.read_range(spark, f"{tmp_path}/archive", 10, 40)
     assert sorted((r.part, r.off) for r in found.collect()) == scan(rows, 10, 40, {})
     assert "GreaterThanOrEqual(off" in found._jdf.queryExecution().toString()
 

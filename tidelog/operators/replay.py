@@ -79,7 +79,8 @@ def checkpoint_map(text: str) -> dict[int, int]:
         return {int(part): int(off)}
 
 
-def _saved_offset(checkpoint: Mapping[int, int]) -> Column:
+def saved_offset(checkpoint: Mapping[int, int]) -> Column:
+    """The checkpoint's offset of a row's `part`, or NULL."""
     if not checkpoint:
         return F.lit(None).cast("bigint")
     pairs = [F.lit(int(x)) for item in checkpoint.items() for x in item]
@@ -98,7 +99,7 @@ def archive_frontier(
         F.min(F.when(F.col(time_col) >= start_ms, F.col("off"))).alias("_first"),
         (F.max("off") + 1).alias("end_off"),
     )
-    saved = _saved_offset(checkpoint or {}) + 1
+    saved = saved_offset(checkpoint or {}) + 1
     return per_part.select("part", F.coalesce(saved, "_first", "end_off").alias("frontier"), "end_off")
 
 

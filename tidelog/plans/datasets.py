@@ -8,10 +8,14 @@ the same definitions as SQL text for the oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidelog.functions import keys, wal
 from tidelog.operators import segments
+from tidelog.session import checkpoint_root
+from tidelog.sources import archive as stored
 from tidelog.sources.tables import table
 
 DAY_MS = 86_400_000
@@ -19,6 +23,7 @@ TTL_MS = 7 * DAY_MS
 NOW_MS = 1_705_708_800_000  # 2024-01-20 00:00:00 UTC, the "now" of every query on the log
 IMAGE_COLUMNS = ("id", "amt", "kind")
 GAPS_MS = (TTL_MS // 3, TTL_MS - 1, TTL_MS, TTL_MS * 3 // 5, 0)
+STORED_FILE_ROWS = 500  # so that the small inputs have several files a partition, too
 JOBS_NOW_MS = 946_684_800_000  # 2000-01-01 00:00:00 UTC, the "now" of every query on jobs
 
 def epoch_ms(column: str):
@@ -95,6 +100,19 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.withColumn("off", F.col("position") - 1).drop("position")
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_archive(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the stored archive, written once per application and input."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _stored:
+        path = f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+        stored.store(archive(spark, sf_dir).drop("ts"), path, file_rows=STORED_FILE_ROWS)
+        _stored[at] = path
+    return _stored[at]
+
+
 def content_key():
     return keys.content_key(F.col("lsn"), F.col("tbl"), F.col("old"), F.col("new"), IMAGE_COLUMNS)
 

@@ -8,6 +8,7 @@ from tidelog.operators import replay
 from tidelog.plans import datasets as d
 from tidelog.plans.registry import query
 from tidelog.session import cut_lineage
+from tidelog.sources import archive
 
 # 2024-01-10 00:00 to 2024-01-17 00:00 UTC.
 START_MS = 1_704_844_800_000
@@ -46,7 +47,7 @@ def hot_resume(spark, sf_dir):
 @query("archive_frontier", f"{_CHANGES.rstrip()},\n{_FRONTIER} SELECT part, frontier FROM frontier")
 def archive_frontier(spark, sf_dir):
     saved = replay.checkpoint_map(CHECKPOINT)
-    return replay.archive_frontier(d.archive(spark, sf_dir), START_MS, saved).select("part", "frontier")
+    return archive.read_frontier(spark, d.stored_archive(spark, sf_dir), START_MS, saved).select("part", "frontier")
 
 
 @query(
@@ -61,7 +62,7 @@ WHERE c.off >= f.frontier AND c.off < coalesce(s.stop, f.end_off)""",
 )
 def archive_range(spark, sf_dir):
     saved = replay.checkpoint_map(CHECKPOINT)
-    rows = replay.archive_range(d.archive(spark, sf_dir), START_MS, END_MS, saved)
+    rows = archive.read_range(spark, d.stored_archive(spark, sf_dir), START_MS, END_MS, saved)
     return rows.select("part", "off", "seq", "publish_ms")
 
 
