@@ -1,5 +1,7 @@
 """Pages whose text is told by the sums of its blocks' lengths."""
 
+import time
+
 import pytest
 
 from tidelog.llm import html_extract
@@ -39,6 +41,27 @@ WITH_ARTICLE = [
 ]
 
 
+#: Names on an article's own tags, and what of an article is furniture all the same.
+OWN_TAGS = [
+    *[(f"<article><h1>A</h1><p>{LONG}</p>{tag}<p>{LONG}</p></article>", f"A {LONG} Own words {LONG}") for tag in (
+        '<h2 id="search">Own words</h2>', '<h2 id="navigation">Own words</h2>', '<h2 id="comments">Own words</h2>',
+        '<section id="related-work">Own words</section>', '<h2 class="section-header">Own words</h2>',
+        '<p class="hidden-gem">Own words</p>', '<p class="share-price">Own words</p>', '<p class="ad-hoc">Own words</p>',
+        "<p>Own <label>words</label></p>", '<p>Own <span class="ad">words</span></p>',
+    )],
+    (f"<article><header><h1>A</h1></header><p>{LONG}</p><header>By</header></article>", f"A {LONG}"),
+    *[(f"<article><p>{LONG}</p><div class='{name}'>Go</div></article>", LONG) for name in (
+        "ad", "ad-slot", "share-buttons", "related-posts", "cookie_banner", "comment-list", "ads-2",
+    )],
+    (f"<header><h1>Site</h1></header><article><p>{LONG}</p></article><p class=copyright>Own</p>", LONG),
+]
+
+
+@pytest.mark.parametrize("page, text", OWN_TAGS)
+def test_names_on_the_tags_of_an_article(page, text):
+    assert html_extract.main_text(page) == text
+
+
 @pytest.mark.parametrize("page, text", WITH_ARTICLE)
 def test_names_and_articles(page, text):
     assert html_extract.main_text(page) == text
@@ -53,3 +76,10 @@ def test_sums_decide_beside_an_article():
 def test_deep_and_odd_pages_take_linear_time():
     pages = ["<div>a" * 50_000, "<svg><style/>" * 50_000, "<svg>" * 50_000 + "<p>x", "</b>" * 50_000, "<title>" * 50_000]
     assert [len(html_extract.main_text(page)) for page in pages] == [99_999, 0, 1, 0, 0]
+
+
+@pytest.mark.parametrize("again", ["</b>", "<body>", "<svg><p>", "</p>"])
+def test_many_open_elements_and_end_tags_take_linear_time(again):
+    start = time.thread_time()
+    html_extract.main_text("<i>" * 20_000 + again * 20_000)
+    assert time.thread_time() - start < 5

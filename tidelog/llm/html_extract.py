@@ -13,12 +13,15 @@ outside it is weighed like that of other pages.
 
 An element is furniture by its kind (nav, hidden, a role, ...) or by a name (class or id).  By name it
 is not, and a form is not, if it holds more than half of the page's text or of the text in articles.
+In an article, only names that speak of nothing but furniture count, and only on containers; an
+article's own header stays if it holds a level 1 heading, and a label outside forms is text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -68,8 +71,27 @@ _LISTS = frozenset("li ul ol dl dt dd".split())
 _SECTIONING = frozenset("html body article main".split())
 
 
-def _named(name: str, attributes: str) -> str | None:
-    """The word of a class or id that names furniture."""
+#: Words that only say which part of a piece of furniture a compound name means: ad-slot, share-buttons.
+_PART_OF = frozenset(
+    "area bar block body bottom box btn button buttons center container content form group head icon icons inner item items "
+    "left line link links list main outer page panel post posts right section sidebar site slot thread title top unit user wrap wrapper"
+    .split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXTUAL = frozenset("p a abbr b cite code em font i label mark q s small span strong sub sup time u".split())
+#: Names an article's own header, which stays if it holds the title.
+_TITLED = "header of an article"
+
+
+def _named(name: str, attributes: str, article: bool) -> str | None:
+    """The word of a class or id that names furniture.
+
+    A heading is never named (its id is made of its words).  A paragraph or inline element is
+    by a whole word, not in an article.  In an article the words of a compound must all speak of
+    furniture or of a part of it: a section on related-work is none.
+    """
+    if name in _HEADINGS or article and name in _TEXTUAL:
+        return None
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id") and (name not in _SECTIONING or "comment" in value):
@@ -77,7 +99,9 @@ def _named(name: str, attributes: str) -> str | None:
                 parts = re.split(r"[-_]+", word)
                 if word in _NAMES:
                     return word
-                if parts[0] in _BEFORE or parts[-1] in _AFTER:
+                if name in _TEXTUAL or parts[0] in _BEFORE or parts[-1] in _AFTER:
+                    continue
+                if article and not all(p in _NAMES or p in _PART_OF or p.isdigit() for p in parts):
                     continue
                 for part in (parts[0], parts[-1]):
                     if part in _NAMES:
@@ -85,9 +109,10 @@ def _named(name: str, attributes: str) -> str | None:
     return None
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
+def _is_furniture(name: str, attributes: str, article: bool) -> bool:
     """Whether an element is furniture by its kind, whatever it is called."""
-    if name in _FURNITURE and name != "form" or name == "svg":
+    by_kind = name in _FURNITURE and name != "form" or name == "svg"
+    if by_kind and not (article and name in ("header", "label")):
         return True
     if not attributes.strip():
         return False
@@ -118,10 +143,13 @@ class _Element:
     parent: int = 0
     size: int = 0  # text in it, outside links and furniture by kind
     main: int = 0  # of that, in articles
+    titles: int = 0  # level 1 headings in it
 
     def child(self, number: int, name: str, attributes: str) -> _Element:
-        skipped = self.skipped or _is_furniture(name, attributes)
-        named = None if skipped else _named(name, attributes) or ("form" if name == "form" else None)
+        skipped = self.skipped or _is_furniture(name, attributes, self.article)
+        named = None if skipped else _named(name, attributes, self.article) or ("form" if name == "form" else None)
+        if name == "header" and not skipped:
+            named = _TITLED
         out = _Element(
             number, name, skipped, named, number if name == "a" else self.link,
             self.article or name in ("article", "main") and not named, self.place, self.block, self.listed, self.number,
@@ -174,11 +202,11 @@ def _read(page: str) -> tuple[list[_Element], list[tuple[str, int, bool]]]:
     """The elements of a page; its pieces of text, their elements, and whether a block ends there."""
     elements = [_Element(0)]
     stack, pieces, at = [elements[0]], [], 0
-    svgs = 0
+    open_: defaultdict[str, list[int]] = defaultdict(list)  # where elements of a name are in the stack
 
     def close(depth: int) -> None:
-        nonlocal svgs
-        svgs -= sum(e.name == "svg" for e in stack[depth:])
+        for e in stack[depth:]:
+            open_[e.name].pop()
         del stack[depth:]
 
     def add(raw: str, ends: bool) -> None:
@@ -197,21 +225,19 @@ def _read(page: str) -> tuple[list[_Element], list[tuple[str, int, bool]]]:
         if not name:
             continue
         if found["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    close(depth)
-                    break
+            if open_[name]:
+                close(open_[name][-1])
             continue
         single = found["attributes"].endswith("/")
         if name in _RAW:
-            if not (single and svgs):
+            if not (single and open_["svg"]):
                 ended = _ENDS[name].search(page, at)
                 at = ended.end() if ended else len(page)
             continue
-        if name == "body":
-            close(next((d for d, e in enumerate(stack) if e.name == "head"), len(stack)))
-        if svgs and name in _BLOCKS and not any(e.name == "foreignobject" for e in stack):  # an svg without an end
-            close(next(d for d, e in enumerate(stack) if e.name == "svg"))
+        if name == "body" and open_["head"]:
+            close(open_["head"][0])
+        if open_["svg"] and name in _BLOCKS and not open_["foreignobject"]:  # an svg without an end
+            close(open_["svg"][0])
         if name in _BLOCKS and stack[-1].name == "p":
             close(len(stack) - 1)
         if name == "li" and stack[-1].name == "li":
@@ -219,8 +245,9 @@ def _read(page: str) -> tuple[list[_Element], list[tuple[str, int, bool]]]:
         if name in _VOID or single:
             continue
         elements.append(stack[-1].child(len(elements), name, found["attributes"]))
+        elements[-1].titles = int(name == "h1")
+        open_[name].append(len(stack))
         stack.append(elements[-1])
-        svgs += name == "svg"
     add(page[at:], True)
     return elements, pieces
 
@@ -231,9 +258,12 @@ def blocks_of(page: str) -> list[Block]:
     for e in reversed(elements[1:]):
         elements[e.parent].size += e.size
         elements[e.parent].main += e.main
+        elements[e.parent].titles += e.titles
     root = elements[0]
     for e in elements[1:]:
-        if e.named in _NEVER:
+        if e.named is _TITLED:
+            holds = e.titles > 0
+        elif e.named in _NEVER:
             holds = e.main == root.main > 0
         else:
             holds = 2 * e.main > root.main or 2 * e.size > root.size
@@ -280,7 +310,9 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """`page_id`, `url`, `text` of every row; a null or empty page has the empty text.
 
-    Rows are independent of each other, so repeated rows and ties need no rule.
+    Rows are independent of each other, so repeated rows and ties need no rule.  An empty table
+    gives an empty one.  Only `page_id`, `url` and `column` are read: other columns, whatever
+    their names, are left out.  End tags of elements that are not open are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
