@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table of its own in the shared checkpoint folder.
-
-    The shuffles behind it aren't needed any more: once the driver's garbage is collected,
-    Spark deletes their files.
-    """
-    out = cut_lineage(df)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+#: `df` as a table of its own in the shared checkpoint folder.
+written = cut_lineage
 
 
 def text_key(text: str = "text") -> Column:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Steps
 from .buffers import SLICE_BYTES, RangeHash, mixed, slices, utf8
 from .steps import text_key, written
 
@@ -39,6 +40,9 @@ BLOCK = 16
 #: A run's number is its document's number and its place there; a document has fewer runs than this.
 _PLACES = 1 << 24
 
+#: A document's number is its partition and its place there; a partition has fewer documents with runs.
+_DOCUMENTS = 1 << 24
+
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -99,7 +103,10 @@ def text_runs(docs: DataFrame, length: int, text: str) -> DataFrame:
         from pyspark import TaskContext
 
         # Numbers are kept by the written table; a task that runs again writes the same ones or others, once.
-        uid = TaskContext.get().partitionId() << 22
+        part = TaskContext.get().partitionId()
+        if part >= 1 << 15:
+            raise ValueError("documents come in too many partitions")
+        uid = part * _DOCUMENTS
         for batch in batches:
             at, data = utf8(batch.column(2))
             columns = [[], [], [], []]
@@ -126,23 +133,25 @@ def text_runs(docs: DataFrame, length: int, text: str) -> DataFrame:
                 ["doc_id", "text_key", "uid", "first", "last", "anchor", "whole"],
             )
             uid += len(has)
+            if uid > (part + 1) * _DOCUMENTS:
+                raise ValueError("a partition has too many documents")
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key(text).alias("text_key"), F.col(text))
     return rows.mapInArrow(run, schema)
 
 
-def _told_apart(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _told_apart(ranked: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
     """From (`shared`, `whole`, `ref`): the ranks `whole` that repeat, and one `ref` of each to rank further.
 
     `shared` is the rank of what all strings of a row have in common; `whole` that of all its bytes.
     Where all rows with one `shared` are equal, nothing is left to tell apart.
     """
-    classes = written(ranked.groupBy("shared", "whole").agg(F.count("*").alias("n"), F.min("ref").alias("ref")))
+    classes = steps.write(ranked.groupBy("shared", "whole").agg(F.count("*").alias("n"), F.min("ref").alias("ref")))
     several = classes.groupBy("shared").agg(F.count("*").alias("kinds")).where("kinds > 1").select("shared")
     return classes.where("n > 1").select("whole"), classes.join(several, "shared").select("ref")
 
 
-def _run_texts(docs: DataFrame, table: DataFrame, refs: DataFrame, length: int, text: str) -> DataFrame:
+def _run_texts(docs: DataFrame, table: DataFrame, refs: DataFrame, length: int, text: str, steps: Steps) -> DataFrame:
     """The bytes of the runs `refs`: (`id`, `ref`, `bytes`), written."""
     places = refs.select((F.col("ref") % _PLACES).cast("int").alias("place"), F.expr(f"ref div {_PLACES}").alias("uid"))
     wanted = places.groupBy("uid").agg(F.sort_array(F.collect_list("place")).alias("places"))
@@ -171,7 +180,7 @@ def _run_texts(docs: DataFrame, table: DataFrame, refs: DataFrame, length: int,
             )
             number += len(refs)
 
-    return written(joined.select("uid", "places", "first", "last", "_text").mapInArrow(run, "id long, ref long, bytes binary"))
+    return steps.write(joined.select("uid", "places", "first", "last", "_text").mapInArrow(run, "id long, ref long, bytes binary"))
 
 
 def _blocks(texts: DataFrame, length: int) -> DataFrame:
@@ -234,33 +243,36 @@ def _positions(texts: DataFrame, refs: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = 200, text: str = "text") -> DataFrame:
-    """`doc_id`, `text_key`, `ranges`: where strings of `length` bytes begin that begin elsewhere too.
+    """Written `doc_id`, `text_key`, `ranges`: where strings of `length` bytes begin that begin elsewhere too.
 
     A range holds the first and the last of consecutive positions in the text's UTF-8 bytes.
     Documents without such strings have no row.
     """
     if not ANCHOR + BLOCK <= length <= ANCHOR + 255:
         raise ValueError(f"length must be from {ANCHOR + BLOCK} to {ANCHOR + 255}")
-    table = written(text_runs(docs, length, text))
+    # Tables go as soon as what is computed from them is written: `runs`, then `inside`, then `all_`.
+    all_, runs, inside = (Steps(docs.sparkSession) for _ in range(3))
+    table = all_.write(text_runs(docs, length, text))
     zipped = F.posexplode(F.arrays_zip(F.col("anchor").alias("shared"), F.col("whole").alias("whole"))).alias("place", "x")
     ranked = table.select("uid", zipped).select("x.shared", "x.whole", (F.col("uid") * _PLACES + F.col("place")).alias("ref"))
-    whole, open_runs = _told_apart(ranked)
-    found = ranked.select("whole", "ref").join(whole, "whole").select(
+    whole, open_runs = _told_apart(ranked, runs)
+    found = all_.write(ranked.select("whole", "ref").join(whole, "whole").select(
         "ref", F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to")
-    )
-    found = written(found)
-    texts = _run_texts(docs, table, open_runs, length, text)
-    blocks = written(_blocks(texts, length))
-    whole, open_blocks = _told_apart(blocks)
+    ))
+    texts = _run_texts(docs, table, open_runs, length, text, inside)
+    runs.clear()
+    blocks = inside.write(_blocks(texts, length))
+    whole, open_blocks = _told_apart(blocks, inside)
     inner = blocks.select("whole", "ref").join(whole, "whole").select("ref")
-    single = written(_positions(texts, open_blocks, length))
+    single = inside.write(_positions(texts, open_blocks, length))
     again = single.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole")
     inner = inner.union(single.join(again, "whole").select("ref"))
     inner = inner.select(
         F.shiftrightunsigned("ref", 16).alias("id"), F.expr("shiftrightunsigned(ref, 8) & 255").cast("int").alias("from"),
         F.expr("ref & 255").cast("int").alias("to"),
     )
-    found = found.unionByName(inner.join(texts.select("id", "ref"), "id").select("ref", "from", "to"))
+    found = found.unionByName(all_.write(inner.join(texts.select("id", "ref"), "id").select("ref", "from", "to")))
+    inside.clear()
     by_text = found.select(
         F.expr(f"ref div {_PLACES}").alias("uid"), F.struct((F.col("ref") % _PLACES).cast("int").alias("place"), "from", "to").alias("mark")
     ).groupBy("uid").agg(F.collect_list("mark").alias("marks"))
@@ -272,7 +284,11 @@ def repeats(docs: DataFrame, length: int = 200, text: str = "text") -> DataFrame
             F.coalesce(first + m["to"], F.get("last", m["place"])).alias("last"),
         )
 
-    return table.join(by_text, "uid").select("doc_id", "text_key", F.sort_array(F.transform("marks", placed)).alias("ranges"))
+    out = table.join(by_text, "uid").select("doc_id", "text_key", F.sort_array(F.transform("marks", placed)).alias("ranges"))
+    # Repeated rows have equal ranges, so any of them serves.
+    out = written(out.groupBy("doc_id", "text_key").agg(F.first("ranges").alias("ranges")))
+    all_.clear()
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text") -> DataFrame:
@@ -283,9 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text") -> Da
     text is empty.  Texts shorter than `length` bytes keep all.  Repeated rows are repeats of
     each other.  An empty table gives an empty one.
     """
-    # Repeated rows have equal ranges, so any of them serves.
-    ranges = written(repeats(docs, length, text).groupBy("doc_id", "text_key").agg(F.first("ranges").alias("ranges")))
-    ranges = ranges.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "ranges")
+    ranges = repeats(docs, length, text).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "ranges")
     rows = docs.select(F.col("doc_id").cast("long"), text_key(text).alias("_own"), F.col(text).alias("_text"))
     joined = rows.join(ranges, rows["doc_id"].eqNullSafe(ranges["_doc"]) & (rows["_own"] == ranges["_key"]), "left")
 
