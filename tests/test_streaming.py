@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -101,3 +102,27 @@ def test_release_waits_for_each_slot(spark):
 
     n = release(planned, lambda d, slot: sent.append(sorted(r.seq for r in d.collect())), 1000, 0, lambda: clock[0], wait)
     assert (n, sent, waits) == (2, [[0, 1, 2], [3, 4]], [1.0])
+
+
+def test_hot_table_stays_bounded(spark, tmp_path):
+    hot = f"{tmp_path}/hot"
+    sink = capture.fan_out(hot, f"{tmp_path}/archive", size=25)
+    for n in range(12):
+        for _ in range(2 if n % 5 == 0 else 1):  # some batches run again after a crash
+            sink(spark.range(10 * n, 10 * n + 10).withColumnRenamed("id", "seq"), n)
+        left = [f for f in os.listdir(hot) if f.startswith("batch=")]
+        assert len(left) <= 3 and len(os.listdir(f"{hot}-counts")) == len(left)
+        newest = sorted(r.seq for r in capture.hot_rows(spark, hot, 25).collect())
+        assert newest == list(range(max(0, 10 * n - 15), 10 * n + 10))
+    assert capture.committed(spark, f"{tmp_path}/archive").count() == 120
+
+
+def test_tail_from_now_goes_on_after_a_restart(spark, tmp_path):
+    src, marker = f"{tmp_path}/src", f"{tmp_path}/start"
+    for n in range(3):
+        spark.range(10 * n, 10 * n + 10).withColumnRenamed("id", "seq").coalesce(1).write.mode("append").parquet(src)
+        stored = spark.read.parquet(src)
+        tail = capture.from_now(logs.stream_log(spark, src, stored.schema), stored, marker)
+        sink = lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={i}")
+        capture.run(tail, sink, f"{tmp_path}/progress").awaitTermination()
+    assert sorted(r.seq for r in capture.committed(spark, f"{tmp_path}/out").collect()) == list(range(10, 30))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidelog.operators import segments
-from tidelog.operators.fold import fold_sorted
 
 # Job states and the commands each state accepts.
 STATES = ("pending", "queued", "running", "paused", "completed", "failed", "cancelled")
@@ -61,6 +60,16 @@ def _after(state: str, command: str) -> str | None:
     return TRANSITIONS.get(command, {}).get(state)
 
 
+def _accepted(state: Column, command: Column) -> Column:
+    """The same of columns, NULL if the state does not accept it."""
+    pairs = [F.lit(x) for c in TRANSITIONS for s in STATES if (after := _after(s, c)) for x in (f"{c}:{s}", after)]
+    return F.try_element_at(F.create_map(*pairs), F.concat(command, F.lit(":"), state))
+
+
+def _next(state: Column, command: Column) -> Column:
+    return F.coalesce(_accepted(state, command), state)
+
+
 def lifecycle(
     commands: DataFrame,
     job: str = "job_id",
@@ -75,47 +84,64 @@ def lifecycle(
     An illegal command leaves the state unchanged.  Jobs start pending.
 
     A run of commands maps each state a job may be in to the state it ends in, and such
-    maps can be joined.  So the commands of a (job, log segment) are first folded from all
-    states at once, then the few maps of a job give the state each segment starts in, and
-    a second fold per segment marks its commands.  A job with a third of all commands is
-    thereby spread over all its segments.
+    maps can be joined.  So a job whose commands lie in several segments of the log is first
+    folded from all states at once, per segment; the few maps of a job give the state each
+    segment starts in.  A fold per segment then marks its commands.  A job with a third of all
+    commands is thereby spread over all its segments.
+    """
+    item = F.struct(F.col(order), F.col("command"), *[F.col(c) for c in carry])
+    rows = commands.withColumn("_seg", segments.segment_of(order, width))
+    listed = rows.groupBy(job, "_seg").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    marked = listed.join(_entries(rows, job, order), [job, "_seg"], "left")
+    before = _states_before("_items", F.coalesce("_entry", F.lit("pending")))
+    zipped = F.arrays_zip(F.col("_items").alias("i"), before.alias("before"))
+    out = marked.select(job, F.explode(zipped).alias("_x"))
+    after = _accepted(F.col("_x.before"), F.col("_x.i.command"))
+    return out.select(
+        job, F.col(f"_x.i.{order}").alias(order), F.col("_x.i.command").alias("command"), F.col("_x.before").alias("before"),
+        F.coalesce(after, F.col("_x.before")).alias("after"), after.isNotNull().alias("accepted"),
+        *[F.col(f"_x.i.{c}").alias(c) for c in carry],
+    )
+
+
+def _states_before(items: str, entry: Column, chunk: int = 64) -> Column:
+    """The state before each of the sorted commands, as an array.
+
+    Appending copies what is there, so commands are taken in chunks, and the chunks appended.
     """
+    chunks = F.transform(
+        F.sequence(F.lit(0), ((F.size(items) - 1) / chunk).cast("int")), lambda i: F.slice(items, i * chunk + 1, chunk)
+    )
+
+    def one(state: Column, i: Column) -> Column:
+        return F.struct(_next(state["now"], i["command"]).alias("now"), F.concat(state["seen"], F.array(state["now"])).alias("seen"))
+
+    def several(state: Column, part: Column) -> Column:
+        start = F.struct(state["now"].alias("now"), F.array().cast("array<string>").alias("seen"))
+        ended = F.aggregate(part, start, one)
+        # The struct once, then its parts.
+        return F.element_at(F.transform(F.array(ended), lambda e: F.struct(
+            e["now"].alias("now"), F.concat(state["seen"], F.array(e["seen"])).alias("seen")
+        )), 1)
+
+    start = F.struct(entry.alias("now"), F.array().cast("array<array<string>>").alias("seen"))
+    return F.flatten(F.aggregate(chunks, start, several)["seen"])
+
+
+def _entries(rows: DataFrame, job: str, order: str) -> DataFrame:
+    """(`job`, `_seg`, `_entry`): the state a segment starts in, of jobs with several segments."""
     states = [*STATES, ABSENT]
-    job_type = commands.schema[job].dataType
-    rows = commands.select(job, order, "command", *carry).withColumn("_seg", segments.segment_of(order, width))
-
-    def all_ends(row, state):
-        ends = state or {job: row[job], "_seg": row["_seg"], **{s: s for s in states}}
-        return {**ends, **{s: _after(ends[s], row["command"]) or ends[s] for s in states}}, ()
-
-    def entry(row, state):
-        state = state or "pending"
-        return row[state], [{job: row[job], "_seg": row["_seg"], "_entry": state}]
-
-    def mark(row, state):
-        before = state or row["_entry"]
-        after = _after(before, row["command"])
-        line = {
-            job: row[job], order: row[order], "command": row["command"],
-            "before": before, "after": after or before, "accepted": after is not None,
-            **{c: row[c] for c in carry},
-        }
-        return after or before, [line]
-
-    def struct(*fields):
-        head = [T.StructField(job, job_type)]
-        return T.StructType(head + [T.StructField(n, t) for n, t in fields])
-
-    text, number = T.StringType(), T.LongType()
-    ends = fold_sorted(
-        rows, [job, "_seg"], order, all_ends, struct(("_seg", number), *[(s, text) for s in states]),
-        finish=lambda state: [state],
+    spread = rows.groupBy(job).agg(F.min("_seg").alias("_first"), F.max("_seg").alias("_last")).where("_first < _last")
+    parts = rows.join(spread.select(job), job, "left_semi").groupBy(job, "_seg").agg(
+        F.sort_array(F.collect_list(F.struct(order, "command"))).alias("_items")
+    )
+    ends = F.aggregate(
+        "_items", F.array(*[F.lit(s) for s in states]), lambda now, i: F.transform(now, lambda s: _next(s, i["command"]))
     )
-    entries = fold_sorted(ends, [job], "_seg", entry, struct(("_seg", number), ("_entry", text)))
-    return fold_sorted(
-        rows.join(entries, [job, "_seg"]), [job, "_seg"], order, mark,
-        struct((order, number), ("command", text), ("before", text), ("after", text), ("accepted", T.BooleanType()),
-               *[(c, commands.schema[c].dataType) for c in carry]),
+    maps = parts.select(job, "_seg", F.map_from_arrays(F.array(*[F.lit(s) for s in states]), ends).alias("_ends"))
+    before = F.collect_list("_ends").over(W.partitionBy(job).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1))
+    return maps.withColumn("_before", before).select(
+        job, "_seg", F.aggregate("_before", F.lit("pending"), lambda s, m: m[s]).alias("_entry")
     )
 
 

@@ -118,6 +118,23 @@ def envelope_defaults(spark, sf_dir):
     )
 
 
+@query(
+    "bad_envelopes",
+    d.with_ctes("changes")
+    + """SELECT seq, 'parse_error' AS error_type FROM changes WHERE seq % 13 IN (3, 5, 7)
+UNION ALL SELECT seq, 'decoded' FROM changes WHERE seq % 13 NOT IN (3, 5, 7)""",
+)
+def bad_envelopes(spark, sf_dir):
+    """Stored envelopes, some of them cut off, no JSON or missing: each is decoded or quarantined."""
+    seq = F.col("seq")
+    text = F.to_json(F.struct("lsn", "commit_time", F.col("tbl").alias("table"), "operation", "old", "new"))
+    envelope = F.when(seq % 13 == 3, F.substring(text, F.lit(1), F.length(text) - 2)).when(seq % 13 == 5, F.lit("no json"))
+    envelope = envelope.when(seq % 13 != 7, text)
+    stored = d.changes(spark, sf_dir).select("seq", envelope.alias("envelope"))
+    good = decode.decode_envelopes(stored).select("seq", F.lit("decoded").alias("error_type"))
+    return decode.quarantine_envelopes(stored).select("seq", "error_type").unionByName(good)
+
+
 @query(
     "bad_rows",
     """SELECT CAST(seq AS VARCHAR) AS lsn, 'json_parse' AS error_type FROM (

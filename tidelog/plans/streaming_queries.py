@@ -19,6 +19,9 @@ from tidelog.streaming.target import maintain, maintained
 
 _FILES = 4
 
+#: Rows of the hot table of `stream_fanout`: fewer than any input has, so that batches retire.
+HOT = 400
+
 
 def _folder(spark) -> str:
     return f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
@@ -64,8 +67,9 @@ def _append_to(path):
 
 @query(
     "stream_fanout",
-    d.with_ctes("changes", "hot")
-    + """SELECT 'archive' AS sink, tbl, operation, count(*)::BIGINT AS n FROM changes GROUP BY ALL
+    d.with_ctes("changes").rstrip()
+    + f""", hot AS (SELECT * FROM changes ORDER BY seq DESC LIMIT {HOT})
+SELECT 'archive' AS sink, tbl, operation, count(*)::BIGINT AS n FROM changes GROUP BY ALL
 UNION ALL SELECT 'hot', tbl, operation, count(*)::BIGINT FROM hot GROUP BY ALL""",
 )
 def stream_fanout(spark, sf_dir):
@@ -73,8 +77,8 @@ def stream_fanout(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     stream = d.flat_changes_of(_in_order(events, f"{root}/events", "event_id")).drop("ts")
     hot, archive = f"{root}/hot", f"{root}/archive"
-    capture.run(stream, capture.fan_out(hot, archive), f"{root}/progress").awaitTermination()
-    both = capture.hot_rows(spark, hot).withColumn("sink", F.lit("hot")).unionByName(
+    capture.run(stream, capture.fan_out(hot, archive, HOT), f"{root}/progress").awaitTermination()
+    both = capture.hot_rows(spark, hot, HOT).withColumn("sink", F.lit("hot")).unionByName(
         capture.committed(spark, archive).withColumn("sink", F.lit("archive"))
     )
     return both.groupBy("sink", "tbl", "operation").agg(F.count(F.lit(1)).alias("n"))
@@ -128,13 +132,21 @@ def schema_guard(spark, sf_dir):
 
 @query(
     "stream_tail",
-    d.with_ctes("changes") + "SELECT seq, tbl, operation, (row_number() OVER (ORDER BY seq) - 1) // 10 AS chunk FROM changes",
+    d.with_ctes("changes")
+    + """SELECT seq, tbl, operation, (row_number() OVER (ORDER BY seq) - 1) // 10 AS chunk FROM changes
+WHERE seq > (SELECT max(seq) // 4 FROM changes)""",
 )
 def stream_tail(spark, sf_dir):
+    """A tail that starts when a quarter of the log is there, and is started again halfway through the rest."""
     root = _folder(spark)
-    events = _in_order(table(spark, sf_dir, "events"), f"{root}/events", "event_id")
-    stream = d.flat_changes_of(events).select("seq", "tbl", "operation")
-    capture.run(stream, capture.tail(f"{root}/tail", f"{root}/counted"), f"{root}/progress").awaitTermination()
+    log = d.flat_changes_of(table(spark, sf_dir, "events")).select("seq", "tbl", "operation")
+    last = log.agg(F.max("seq")).first()[0] or 0
+    cuts = [-1, last // 4, last * 5 // 8, last]
+    for n, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        stream = _in_order(log.where(F.col("seq").between(low + 1, high)), f"{root}/log", "seq", batches=1 if n == 0 else 2)
+        tail = capture.from_now(stream, spark.read.parquet(f"{root}/log"), f"{root}/start")
+        sink = capture.tail(f"{root}/tail", f"{root}/counted")
+        capture.run(tail, sink, f"{root}/progress").awaitTermination()
     return capture.committed(spark, f"{root}/tail").drop("batch")
 
 
