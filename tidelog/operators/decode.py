@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidelog.functions import wal
+from tidelog.operators import wire
 from tidelog.schemas import CHANGE_FIELDS, ENVELOPE_DDL, PAYLOAD_DDL
 
 
@@ -105,7 +106,11 @@ def decode_envelopes(df: DataFrame, envelope: str = "envelope") -> DataFrame:
     empty operation means INSERT.  Envelopes that are NULL or no JSON are left out: they are
     what `quarantine_envelopes` returns.
     """
-    e = _parsed_envelopes(df, envelope).where("NOT bad")
+    return _with_defaults(_parsed_envelopes(df, envelope), df, envelope)
+
+
+def _with_defaults(parsed: DataFrame, df: DataFrame, envelope: str) -> DataFrame:
+    e = parsed.where("NOT bad")
     operation = F.coalesce(F.col("e.operation"), F.lit(""))
     return e.select(
         F.coalesce("e.lsn", F.lit("")).alias("lsn"),
@@ -118,9 +123,16 @@ def decode_envelopes(df: DataFrame, envelope: str = "envelope") -> DataFrame:
     )
 
 
-def decode_binary_envelopes(df: DataFrame, value: str, message: str, descriptor: bytes) -> DataFrame:
-    """Binary envelopes; needs the spark-protobuf jar on the classpath."""
-    from pyspark.sql.protobuf.functions import from_protobuf
+def decode_binary_envelopes(df: DataFrame, value: str = "value") -> DataFrame:
+    """Binary envelopes to change records, with the defaults of `decode_envelopes`.
+
+    Unknown fields are skipped, the last of repeated fields and map keys counts.  Envelopes that
+    are NULL, cut off or no UTF-8 are left out: they are what `quarantine_binary_envelopes` returns.
+    """
+    return _with_defaults(wire.parsed(df, value), df, value)
+
 
-    e = df.withColumn("e", from_protobuf(F.col(value), message, binaryDescriptorSet=descriptor))
-    return decode_envelopes(e.withColumn("envelope", F.to_json("e")).drop("e", value))
+def quarantine_binary_envelopes(df: DataFrame, value: str = "value") -> DataFrame:
+    """Stored binary envelopes that cannot be decoded, with their error type."""
+    bad = wire.parsed(df, value).where("bad").drop("e", "bad")
+    return bad.withColumn("error_type", F.lit("parse_error"))

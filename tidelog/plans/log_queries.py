@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidelog.operators import decode, layout, segments
+from tidelog.operators import decode, layout, segments, wire
 from tidelog.plans import datasets as d
 from tidelog.plans.registry import query
 
@@ -135,6 +135,29 @@ def bad_envelopes(spark, sf_dir):
     return decode.quarantine_envelopes(stored).select("seq", "error_type").unionByName(good)
 
 
+@query(
+    "binary_envelopes",
+    d.with_ctes("changes")
+    + """SELECT seq, lsn, commit_time, tbl, operation, CASE WHEN operation IN ('UPDATE', 'DELETE') THEN CAST(id AS VARCHAR) END AS old_id,
+  CASE WHEN operation IN ('INSERT', 'UPDATE') THEN CAST(id AS VARCHAR) END AS new_id,
+  CASE WHEN operation IN ('INSERT', 'UPDATE') THEN kind END AS new_kind, NULL AS error_type
+FROM changes WHERE seq % 17 NOT IN (2, 9)
+UNION ALL SELECT seq, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'parse_error' FROM changes WHERE seq % 17 IN (2, 9)""",
+)
+def binary_envelopes(spark, sf_dir):
+    """The log as binary envelopes, some of them cut off or missing: each is decoded or quarantined."""
+    seq = F.col("seq")
+    raw = wire.written(d.changes(spark, sf_dir).select("seq", "lsn", "commit_time", "tbl", "operation", "old", "new"))
+    cut = F.substring(F.col("value"), F.lit(1), F.octet_length("value") - 1)
+    stored = raw.select("seq", F.when(seq % 17 == 2, cut).when(seq % 17 != 9, F.col("value")).alias("value"))
+    good = decode.decode_binary_envelopes(stored).select(
+        "seq", "lsn", "commit_time", "tbl", "operation", F.col("old")["id"].alias("old_id"),
+        F.col("new")["id"].alias("new_id"), F.col("new")["kind"].alias("new_kind"), F.lit(None).cast("string").alias("error_type"),
+    )
+    bad = decode.quarantine_binary_envelopes(stored).select("seq", "error_type")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 @query(
     "bad_rows",
     """SELECT CAST(seq AS VARCHAR) AS lsn, 'json_parse' AS error_type FROM (
