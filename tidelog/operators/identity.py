@@ -89,9 +89,10 @@ def _settled(items: DataFrame, target: apply.Target, limit: int, width: int) ->
         ))
         carried = _carried(chained.where("_long"), target)
         folded = cut_lineage(_folded(chained, carried, target))
-        found = cut_lineage(folded.select("tbl", F.explode(F.concat("state.missed", "state.occupied")).alias("seq")).distinct())
+        found = folded.select("tbl", F.explode(F.concat("state.missed", "state.occupied")).alias("seq")).distinct()
         before = found.limit(0) if failed is None else failed
-        if found.exceptAll(before).isEmpty() and before.exceptAll(found).isEmpty():
+        differing = found.withColumn("_now", F.lit(True)).join(before.withColumn("_then", F.lit(True)), ["tbl", "seq"], "full")
+        if differing.where("_now IS NULL OR _then IS NULL").isEmpty():
             return folded.groupBy("tbl", "chain").agg(F.max_by("state", "_seg").alias("state"))
         failed = found
 
@@ -106,7 +107,9 @@ def _chains(items: DataFrame) -> DataFrame:
     entered = items.where((F.col("operation") == ARRIVE) & F.col("_hit")).select(
         "tbl", "seq", F.struct("key", (F.col("run") + 1).alias("run")).alias("node")
     )
-    up = cut_lineage(entered.join(left, ["tbl", "seq"]).select("tbl", "node", "root", F.lit(True).alias("open")))
+    up = entered.join(left, ["tbl", "seq"]).select("tbl", "node", "root")
+    linked = up.select("tbl", F.col("node").alias("root"), F.lit(True).alias("open"))
+    up = cut_lineage(up.join(linked, ["tbl", "root"], "left").select("tbl", "node", "root", F.coalesce("open", F.lit(False)).alias("open")))
     while not up.where("open").isEmpty():
         further = up.select("tbl", F.col("node").alias("root"), F.col("root").alias("next"))
         up = cut_lineage(up.join(further, ["tbl", "root"], "left").select(

@@ -101,9 +101,11 @@ def parse_pages(df: DataFrame, page: Sequence[str], text: str = "text") -> DataF
     Comments, lines with a timestamp and lines that do not parse are skipped.  Escapes in label
     values are undone.
     """
-    lines = df.select(*page, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw")).withColumn(
-        "line", F.trim("raw")
-    )
+    # A line that parses becomes its three parts, each on a line of its own; others have no line break.
+    parts = lambda line: F.when(line.startswith("#"), line).otherwise(F.regexp_replace(line, _LINE, "$1\n$2\n$3"))
+    trimmed = F.transform(F.split(F.col(text), "\n"), lambda raw: F.trim(raw))
+    lines = df.select(*page, F.posexplode(F.transform(trimmed, parts)).alias("pos", "line"))
+    part = [F.get(F.split("line", "\n"), i) for i in range(3)]
 
     # A comment that tells something has four words: the mark, HELP or TYPE, a name, the rest.
     words = F.split("line", "[ \\t]+", 4)
@@ -111,7 +113,7 @@ def parse_pages(df: DataFrame, page: Sequence[str], text: str = "text") -> DataF
         (words[0] == "#") & (words[1] == kind) & (F.size(words) == 4), words[3]
     )
     above = W.partitionBy(*page).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = F.regexp_extract("line", _LINE, 3)
+    found = part[2]
     sign = F.when(found.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     bare = F.lower(F.regexp_replace(found, "^[+-]", ""))
     value = (
@@ -122,11 +124,11 @@ def parse_pages(df: DataFrame, page: Sequence[str], text: str = "text") -> DataF
     lines = (
         lines.withColumn("help", F.coalesce(F.last(told("HELP"), True).over(above), F.lit("")))
         .withColumn("type", F.coalesce(F.last(told("TYPE"), True).over(above), F.lit("")))
-        .where(~F.col("line").startswith("#") & F.col("line").rlike(_LINE))
+        .where(F.col("line").contains("\n"))
         .withColumn("value", value)
         .where(F.col("value").isNotNull())
     )
-    label_text = F.regexp_extract("line", _LINE, 2)
+    label_text = part[1]
     names = F.regexp_extract_all(label_text, F.lit(_LABEL_PARTS), F.lit(1))
     # In label values, a backslash escapes itself, a quote, and n for a new line.
     raw = F.regexp_extract_all(label_text, F.lit(_LABEL_PARTS), F.lit(2))
@@ -138,7 +140,7 @@ def parse_pages(df: DataFrame, page: Sequence[str], text: str = "text") -> DataF
         ).otherwise(v),
     )
     return lines.select(
-        *page, "pos", F.regexp_extract("line", _LINE, 1).alias("name"),
+        *page, "pos", part[0].alias("name"),
         wal.row_image(names, values).alias("labels"), "value", "help", "type",
     )
 
