@@ -99,3 +99,19 @@ def test_consumer_lag(spark):
     checkpoint = spark.createDataFrame([(0, 39)], "part int, checkpoint_off bigint")
     got = {r.part: (r.lag, r.critical) for r in metrics.consumer_lag(archive, checkpoint, 5).collect()}
     assert got == {0: (10, True), 1: (1, False)}
+
+
+def test_series_fire_on_their_own(spark):
+    minute = alerts.MINUTE_MS
+    rows = [("a", t, 0.0) for t in [*range(0, 9), *range(10, 30)]] + [("b", t, 0.0 if t % 7 else 1.0) for t in range(30)]
+    rate = spark.createDataFrame([(s, t * minute, v) for s, t, v in rows], "series string, eval_ms long, value double")
+    active = spark.createDataFrame([("x", t * minute, float(t > 15)) for t in range(30)], "series string, eval_ms long, value double")
+    held = alerts.series_predicates({"ingest_rate": rate, "replay_rate": rate, "active_jobs": active})
+    fired = alerts.series_firing(held, minute, alerts.hold_times(), width=4)
+    got = {}
+    for r in fired.collect():
+        got.setdefault((r.alert, r.series), []).append((r.eval_ms // minute, r.active_ms // minute))
+    want = {("IngestorStalled", "a"): [(t, 0) for t in range(5, 9)] + [(t, 10) for t in range(15, 30)]}
+    want["IngestorStalled", "b"] = [(t, t - 5) for t in range(6, 30, 7)]
+    want["ReplayerStalled", "a"] = [(t, 16) for t in range(26, 30)]
+    assert {k: sorted(v) for k, v in got.items()} == want

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidelog.operators import segments
+
 MINUTE_MS = 60_000
 
 
@@ -124,3 +126,46 @@ def notifications(active: DataFrame, step_ms: int, routes=ROUTES) -> DataFrame:
     end = F.col("_first") + F.ceil((F.col("resolved_ms") - F.col("_first")) / check) * check
     resolved = F.array(F.struct(end.alias("notify_ms"), F.lit("resolved").alias("status")))
     return runs.select("alert", "severity", "component", "fires_ms", F.inline(F.concat(repeats, resolved)))
+
+
+# --- rules that see every series ---------------------------------------------------
+
+
+def series_predicates(inputs: Mapping[str, DataFrame], rules=RULES) -> DataFrame:
+    """One row per evaluation, series and rule whose condition holds.
+
+    `inputs` has, by the name of a health value, its `eval_ms`, `series` and `value`.  A rule that
+    only counts while another value is positive is asked whether any series of that one is.  Rules
+    without input are left out.
+    """
+    out = None
+    for r in rules:
+        if r.value not in inputs or r.while_positive and r.while_positive not in inputs:
+            continue
+        rows = inputs[r.value].withColumnRenamed("value", r.value)
+        if r.while_positive:
+            other = inputs[r.while_positive].groupBy("eval_ms").agg(F.max("value").alias(r.while_positive))
+            rows = rows.join(other, "eval_ms")
+        held = rows.where(r.holds()).select(
+            "eval_ms", "series", F.lit(r.alert).alias("alert"), F.lit(r.severity).alias("severity"),
+            F.lit(r.component).alias("component"), F.col(r.value).cast("double").alias("value"),
+        )
+        out = held if out is None else out.unionByName(held)
+    if out is None:
+        raise ValueError("no rule has an input")
+    return out
+
+
+def series_firing(held: DataFrame, step_ms: int, holds: Mapping[str, int], width: int = 10_000) -> DataFrame:
+    """Evaluations at which an alert fires for a series: its condition has held for its hold time.
+
+    Adds `active_ms`, since when.  An unbroken run may be as long as the clock has run, so it is
+    found per block of `width` evaluations, with a carry from block to block.
+    """
+    by = ["alert", "series"]
+    at = held.withColumn("_at", F.expr(f"eval_ms div {int(step_ms)}"))
+    at = segments.previous(at, by, "_at", F.col("_at"), "_before", width)
+    started = F.when(F.col("_before").isNull() | (F.col("_at") - F.col("_before") != 1), F.col("eval_ms"))
+    runs = segments.running_max(at, by, "_at", started, "active_ms", width).drop("_at", "_before")
+    hold = F.create_map(*[F.lit(x) for pair in holds.items() for x in pair])[F.col("alert")]
+    return runs.where(F.col("eval_ms") - F.col("active_ms") >= hold)

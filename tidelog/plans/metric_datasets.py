@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidelog.operators import alerts, metrics
+from tidelog.operators import alerts, jobs, metrics
 from tidelog.plans import datasets as d
 from tidelog.session import cut_lineage
 
@@ -17,6 +17,7 @@ SLOT_MS = 900_000
 EPOCH_SLOTS = 960
 DAY_SLOTS = 96
 WEIGHT = 10_000  # events each row of the sparse test log stands for, in health rates
+SAVED = {0: 41, 2: 76}  # what consumers have read of the archive, by partition
 HOLD_SCALE = 12  # a rule's 5 minutes of 15 s evaluations become an hour of slots
 
 
@@ -147,6 +148,45 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def series_health(spark: SparkSession, sf_dir: str, range_ms: int, step_ms: int) -> dict[str, DataFrame]:
+    """The inputs of alert rules, by name: `eval_ms`, `series`, `value`, from counters, gauges and jobs."""
+    rates = cut_lineage(metrics.range_rate(samples(spark, sf_dir), ["tbl", "operation", "metric"], range_ms, step_ms))
+    named = rates.withColumn("series", F.concat_ws(" ", "tbl", "operation"))
+    of = lambda metric: named.where(F.col("metric") == metric).select("eval_ms", "series", F.col("rate").alias("value"))
+    both = named.groupBy("eval_ms", "series").agg(
+        *[F.max(F.when(F.col("metric") == k, F.col("rate"))).alias(k) for k in ("failed", "replayed")]
+    )
+    share = both.select("eval_ms", "series", alerts.failure_share(F.col("failed"), F.col("replayed")).alias("value"))
+    p99 = metrics.quantile_over_rate(bucket_samples(spark, sf_dir), ["part"], range_ms, step_ms, [0.99])
+    evaluations = rates.select("eval_ms").distinct()
+    produced = _produced(spark, sf_dir, step_ms)
+    saved = F.create_map(*[F.lit(x) for pair in SAVED.items() for x in pair])
+    lag = produced.withColumn("value", F.col("n") - F.coalesce(F.try_element_at(saved, F.col("part")), F.lit(0)))
+    length = produced.groupBy("eval_ms").agg(F.least(F.sum("n"), F.lit(metrics.BUFFER_CAPACITY)).alias("value"))
+    rows = d.jobs(spark, sf_dir)
+    active = jobs.active_counts(rows).select(F.col("state").alias("series"), F.col("jobs").alias("value"))
+    lost = jobs.lease_expired(rows, d.JOBS_NOW_MS).select(F.lit("running").alias("series"), F.col("jobs").alias("value"))
+    # Of jobs only the present is known, one or two values: they hold at every evaluation.
+    listed = lambda now: now.agg(F.collect_list(F.struct("series", "value"))).scalar()
+    always = lambda now: evaluations.select("eval_ms", F.inline(listed(now)))
+    return {
+        "ingest_rate": of("ingested"), "replay_rate": of("replayed"), "failure_share": share,
+        "ingest_p99": p99.select("eval_ms", F.lit("all").alias("series"), "value"),
+        "consumer_lag": lag.select("eval_ms", F.col("part").cast("string").alias("series"), "value"),
+        "buffer_length": length.select("eval_ms", F.lit("hot").alias("series"), "value"),
+        "active_jobs": always(active), "expired_leases": always(lost),
+    }
+
+
+def _produced(spark: SparkSession, sf_dir: str, step_ms: int) -> DataFrame:
+    """How many rows of each archive partition are there at every evaluation (`eval_ms`, `part`, `n`)."""
+    log = d.flat_changes(spark, sf_dir).withColumn("slot", F.expr(f"commit_time div {int(step_ms)}"))
+    counted = cut_lineage(log.groupBy("part", "slot").agg(F.count(F.lit(1)).alias("count")))
+    full = dense(counted, ["part"], ["count"])
+    total = F.sum("count").over(W.partitionBy("part").orderBy("slot"))  # a row per evaluation
+    return full.select("part", ((F.col("slot") + 1) * int(step_ms)).alias("eval_ms"), total.alias("n"))
+
+
 def _bounds(buckets) -> str:
     return ", ".join(f"({b}::DOUBLE)" for b in buckets) + ", ('inf'::DOUBLE)"
 

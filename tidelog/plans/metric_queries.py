@@ -276,6 +276,46 @@ def alert_notifications(spark, sf_dir):
     return alerts.notifications(alerts.inhibit(_firing(spark, sf_dir)), m.SLOT_MS)
 
 
+@query(
+    "alert_series",
+    m.with_ctes("slotted", "slots", "samples", "bucket_samples").rstrip()
+    + f""",
+{d.CTE["jobs"]},
+rates AS ({_range_rate_sql("samples", "tbl, operation, metric")}),
+named AS (SELECT eval_ms, tbl || ' ' || operation AS series, max(rate) FILTER (metric = 'ingested') AS ingested,
+  max(rate) FILTER (metric = 'replayed') AS replayed, max(rate) FILTER (metric = 'failed') AS failed FROM rates GROUP BY ALL),
+rises AS ({_range_rise_sql("bucket_samples", "part, le")}),
+summed AS (SELECT eval_ms, le, CAST(sum((rise * 1000000000000 + span_ms // 2) // span_ms) AS BIGINT) AS n FROM rises GROUP BY eval_ms, le),
+pct AS ({m.percentile_sql("summed", "eval_ms", "(0.99::DOUBLE)")}),
+steps AS (SELECT DISTINCT eval_ms FROM rates),
+ends AS (SELECT (unnest(range((SELECT min(commit_time) // {STEP_MS} FROM changes), (SELECT max(commit_time) // {STEP_MS} FROM changes) + 1)) + 1) * {STEP_MS} AS eval_ms),
+produced AS (SELECT e.eval_ms, p.part, count(c.seq) AS n FROM ends e CROSS JOIN (SELECT DISTINCT part FROM changes) p
+  LEFT JOIN changes c ON c.part = p.part AND c.commit_time < e.eval_ms GROUP BY ALL),
+held AS (
+  SELECT eval_ms, series, 'IngestorStalled' AS alert, 'critical' AS severity, 'ingestor' AS component, 5 AS hold_min FROM named WHERE ingested = 0
+  UNION ALL SELECT eval_ms, 'all', 'HighIngestLatency', 'warning', 'ingestor', 5 FROM pct WHERE value > 1
+  UNION ALL SELECT eval_ms, 'hot', 'RedisStreamNearCapacity', 'warning', 'redis', 2 FROM produced GROUP BY eval_ms HAVING least(sum(n), 100000) > 90000
+  UNION ALL SELECT eval_ms, series, 'ReplayerStalled', 'critical', 'replayer', 10 FROM named
+    WHERE replayed = 0 AND (SELECT count(*) FROM jobs WHERE status IN ('queued', 'running')) > 0
+  UNION ALL SELECT eval_ms, series, 'ReplayerHighFailureRate', 'warning', 'replayer', 5 FROM named
+    WHERE failed / greatest(replayed + failed, 1.0::DOUBLE) > 0.05::DOUBLE
+  UNION ALL SELECT eval_ms, part::VARCHAR, 'KafkaConsumerLagCritical', 'critical', 'kafka', 5 FROM produced
+    WHERE n - CASE part WHEN 0 THEN 41 WHEN 2 THEN 76 ELSE 0 END > 10000
+  UNION ALL SELECT eval_ms, 'running', 'JobLeaseExpiredWithRunningState', 'warning', 'jobs', 1 FROM steps
+    WHERE (SELECT count(*) FROM jobs WHERE status = 'running' AND lease_expires_ms < {d.JOBS_NOW_MS}) > 0),
+fired AS (SELECT * FROM (SELECT *, min(eval_ms) OVER (PARTITION BY alert, series, run) AS active_ms FROM (
+    SELECT *, eval_ms - {STEP_MS} * row_number() OVER (PARTITION BY alert, series ORDER BY eval_ms) AS run FROM held))
+  WHERE eval_ms - active_ms >= hold_min * 60000)
+SELECT eval_ms, alert, severity, component, series, active_ms FROM fired f WHERE severity = 'critical' OR NOT EXISTS (
+  SELECT 1 FROM fired c WHERE c.severity = 'critical' AND c.component = f.component AND c.eval_ms = f.eval_ms)""",
+)
+def alert_series(spark, sf_dir):
+    """Rules over every series of real inputs, with their own hold times; critical alerts mute warnings of their component."""
+    held = alerts.series_predicates(m.series_health(spark, sf_dir, RANGE_MS, STEP_MS))
+    fired = alerts.series_firing(held, STEP_MS, alerts.hold_times())
+    return alerts.inhibit(fired).select("eval_ms", "alert", "severity", "component", "series", "active_ms")
+
+
 @query(
     "consumer_lag",
     _CHANGES
