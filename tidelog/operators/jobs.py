@@ -35,6 +35,19 @@ def page(df: DataFrame, status: str | None, number: int = 1, size: int = 20) ->
     return top.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / size).cast("bigint"))
 
 
+def page_after(df: DataFrame, status: str | None, created_ms: int, job_id: int, size: int = 20) -> DataFrame:
+    """The page behind a job, newest first: the cost of a deep page is that of the first.
+
+    The plain condition on the time reaches the scan; the whole one settles jobs of one instant.
+    """
+    if not 1 <= size <= 100:
+        raise ValueError("page_size is 1 to 100")
+    rows = df if status is None else df.where(F.col("status") == status)
+    created = F.col("created_ms")
+    behind = (created <= created_ms) & ((created < created_ms) | (F.col("job_id") < job_id))
+    return rows.where(behind).orderBy(F.desc("created_ms"), F.desc("job_id")).limit(size)
+
+
 def active_counts(df: DataFrame) -> DataFrame:
     """Jobs per active state, with a zero for a state without jobs."""
     counts = [F.count(F.when(F.col("status") == s, F.lit(1))).alias(s) for s in ACTIVE]

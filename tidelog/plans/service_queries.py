@@ -13,6 +13,7 @@ _CHANGES = d.with_ctes("changes")
 _HOT = d.with_ctes("changes", "hot")
 _REQUESTS = d.with_ctes("requests")
 _NOW = d.JOBS_NOW_MS
+PAGED_MS = 820_454_400_000  # 1996-01-01 00:00:00 UTC, where a deep page of jobs begins
 
 
 @query(
@@ -27,6 +28,18 @@ def jobs_page(spark, sf_dir):
     return rows.select("job_id", "created_ms", "status", "total", "pages")
 
 
+@query(
+    "jobs_page_after",
+    _JOBS
+    + f"""SELECT job_id, created_ms, status FROM jobs
+WHERE created_ms < {PAGED_MS} OR (created_ms = {PAGED_MS} AND job_id < 5000)
+ORDER BY created_ms DESC, job_id DESC LIMIT 50""",
+)
+def jobs_page_after(spark, sf_dir):
+    rows = jobs.page_after(d.jobs(spark, sf_dir), None, PAGED_MS, 5000, size=50)
+    return rows.select("job_id", "created_ms", "status")
+
+
 @query(
     "jobs_active",
     _JOBS
