@@ -142,6 +142,7 @@ def test_empty_tables(spark, tmp_path, name):
     for table, schema in {
         "documents": "doc_id long, text string, lang string, source string, n_chars long",
         "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string",
+        "embeddings": "vec_id long, embedding array<float>, label int",
     }.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
