@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidelog.operators import segments
+from tidelog.session import cut_lineage
 
 MINUTE_MS = 60_000
 
@@ -163,7 +164,8 @@ def series_firing(held: DataFrame, step_ms: int, holds: Mapping[str, int], width
     found per block of `width` evaluations, with a carry from block to block.
     """
     by = ["alert", "series"]
-    at = held.withColumn("_at", F.expr(f"eval_ms div {int(step_ms)}"))
+    # Written once: every scan reads it twice.
+    at = cut_lineage(held.withColumn("_at", F.expr(f"eval_ms div {int(step_ms)}")))
     at = segments.previous(at, by, "_at", F.col("_at"), "_before", width)
     started = F.when(F.col("_before").isNull() | (F.col("_at") - F.col("_before") != 1), F.col("eval_ms"))
     runs = segments.running_max(at, by, "_at", started, "active_ms", width).drop("_at", "_before")
