@@ -143,6 +143,20 @@ def test_changes_of_many_rows_match_fold(spark, seed, monkeypatch):
     assert sorted(got, key=sort_key) == sorted(fold(log, BASE, many_rows=True), key=sort_key)
 
 
+def test_truncated_changes_of_many_rows_meet_no_key(spark, monkeypatch):
+    """What a TRUNCATE empties is not spread over the keys it met: 20 changes of 20 rows would be 400."""
+    spread, of_many_rows = [], identity.of_many_rows
+    monkeypatch.setattr(identity, "of_many_rows", lambda *args: spread.append(of_many_rows(*args)) or spread[-1])
+    target = apply.Target(TARGET.keys, TARGET.columns, many_rows=True)
+    log = [(s, "t", "INSERT", {}, {"id": str(s), "kind": "x"}) for s in range(20)]
+    log += [(s, "t", "UPDATE", {"kind": "x"}, {"amt": f"{s}.5"}) for s in range(20, 40)]
+    log += [(40, "t", "TRUNCATE", {}, {}), (41, "t", "INSERT", {}, {"id": "1", "kind": "x"}), (42, "t", "INSERT", {}, {"id": "7", "kind": "y"})]
+    log += [(43, "t", "UPDATE", {"kind": "x"}, {"amt": "3.5"}), (44, "u", "INSERT", {}, {"id": "2", "kind": "x"})]
+    got = rows(apply.apply_general(spark.createDataFrame(log, SCHEMA), target))
+    assert sorted(got, key=sort_key) == sorted(fold(log, many_rows=True), key=sort_key)
+    assert sum(s.where("seq BETWEEN 20 AND 43 AND operation = 'UPDATE'").count() for s in spread) == 1
+
+
 def test_general_without_special_changes(spark):
     log = [(0, "t", "INSERT", {}, {"id": "1", "amt": "2"}), (1, "t", "UPDATE", {"id": "1"}, {"kind": "x"})]
     assert rows(apply.apply_general(spark.createDataFrame(log, SCHEMA), TARGET)) == [("t", 1, 2.0, "x")]

@@ -274,6 +274,8 @@ def apply_general(
     # One look at the images; most logs have no special change and are not read again before they are summed up.
     if typed_changes(log, target).where("_special").isEmpty():
         return _set_based(rows, target, width)
+    # Changes of many rows meet the rows that are left: what a TRUNCATE empties need not be spread over keys.
+    rows = spread(cut_lineage(rows), target) if target.many_rows else rows
     return identity.resolved(cut_lineage(rows), target)
 
 
@@ -286,8 +288,8 @@ def typed_changes(changes: DataFrame, target: Target, base: DataFrame | None = N
     """Effective changes and the rows of `base`, with the types of the target.
 
     `seq`, `tbl`, `operation`, the key, the new values, `_old` (the values to test), `_to` (the
-    key after a change that moves it, else NULL) and `_special`.  Changes of many rows are
-    there once for every row they may meet.
+    key after a change that moves it, else NULL) and `_special`; with `target.many_rows` also
+    `_wide`, whether a change names many rows, and `_tests`, all values it tests.
     """
     keys, values = target.keys, target.values
     operation = F.col("operation")
@@ -316,9 +318,14 @@ def typed_changes(changes: DataFrame, target: Target, base: DataFrame | None = N
         before = _with_base(rows.limit(0).select("seq", "tbl", "operation", *keys, *values), base, target)
         blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name.startswith("_")]
         rows = rows.unionByName(before.select("*", *blank).fillna(False, ["_special", *(["_wide"] if target.many_rows else [])]))
-    if not target.many_rows:
-        return rows
-    rows = cut_lineage(rows)
+    return rows
+
+
+def spread(rows: DataFrame, target: Target) -> DataFrame:
+    """`typed_changes` with every change of many rows there once for each key it may meet.
+
+    `rows` is read several times and should be a written table.
+    """
     wide = rows.where("_wide").drop("_wide")
     rows = rows.where("NOT _wide").drop("_wide")
     if wide.isEmpty():
