@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from test_apply import SCHEMA, TARGET, fold, random_log, rows
 from tidelog.operators import apply, dedup as batch_dedup, replay
+from tidelog.plans import streaming_queries
 from tidelog.sources import logs
 from tidelog.streaming import capture, dedup
 from tidelog.streaming.target import maintain, maintained, release
@@ -126,3 +127,13 @@ def test_tail_from_now_goes_on_after_a_restart(spark, tmp_path):
         sink = lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={i}")
         capture.run(tail, sink, f"{tmp_path}/progress").awaitTermination()
     assert sorted(r.seq for r in capture.committed(spark, f"{tmp_path}/out").collect()) == list(range(10, 30))
+
+
+def test_fan_out_query_counts_every_change_in_both_tables(spark, tmp_path):
+    rows = [(i, i % 9, "click" if i % 3 else "signup", float(i)) for i in range(1000)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double")
+    events.withColumn("ts", F.expr("timestamp_ntz'2024-01-02 03:04:05'")).write.parquet(f"{tmp_path}/events.parquet")
+    counts = {"archive": 0, "hot": 0, "hot, kept": 0}
+    for r in streaming_queries.stream_fanout(spark, str(tmp_path)).collect():
+        counts[r.sink] += r.n
+    assert counts == {"archive": 1000, "hot": 1000, "hot, kept": 1000}

@@ -19,9 +19,6 @@ from tidelog.streaming.target import maintain, maintained
 
 _FILES = 4
 
-#: Rows of the hot table of `stream_fanout`: fewer than any input has, so that batches retire.
-HOT = 400
-
 
 def _folder(spark) -> str:
     return f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
@@ -67,21 +64,31 @@ def _append_to(path):
 
 @query(
     "stream_fanout",
-    d.with_ctes("changes").rstrip()
-    + f""", hot AS (SELECT * FROM changes ORDER BY seq DESC LIMIT {HOT})
-SELECT 'archive' AS sink, tbl, operation, count(*)::BIGINT AS n FROM changes GROUP BY ALL
-UNION ALL SELECT 'hot', tbl, operation, count(*)::BIGINT FROM hot GROUP BY ALL""",
+    d.with_ctes("changes", "hot")
+    + """SELECT sink, tbl, operation, count(*)::BIGINT AS n FROM changes CROSS JOIN (VALUES ('archive'), ('hot')) s(sink)
+GROUP BY ALL
+UNION ALL SELECT 'hot, kept', tbl, operation, count(*)::BIGINT FROM hot GROUP BY ALL""",
 )
 def stream_fanout(spark, sf_dir):
+    """Every change in both tables, counted there batch by batch, and what retention then leaves of the hot one."""
     root = _folder(spark)
     events = table(spark, sf_dir, "events")
     stream = d.flat_changes_of(_in_order(events, f"{root}/events", "event_id")).drop("ts")
     hot, archive = f"{root}/hot", f"{root}/archive"
-    capture.run(stream, capture.fan_out(hot, archive, HOT), f"{root}/progress").awaitTermination()
-    both = capture.hot_rows(spark, hot, HOT).withColumn("sink", F.lit("hot")).unionByName(
-        capture.committed(spark, archive).withColumn("sink", F.lit("archive"))
-    )
-    return both.groupBy("sink", "tbl", "operation").agg(F.count(F.lit(1)).alias("n"))
+    fan_out, append = capture.fan_out(hot, archive), _append_to(f"{root}/written")
+
+    def counted(rows, sink):
+        return rows.groupBy(F.lit(sink).alias("sink"), "tbl", "operation").agg(F.count(F.lit(1)).alias("n"))
+
+    def sink(batch, n):
+        fan_out(batch, n)
+        # The newest batch is in the hot table whatever was retired.
+        append(counted(batch.sparkSession.read.schema(batch.schema).parquet(f"{hot}/batch={n}"), "hot"), n)
+
+    capture.run(stream, sink, f"{root}/progress").awaitTermination()
+    written = capture.committed(spark, f"{root}/written").groupBy("sink", "tbl", "operation").agg(F.sum("n").alias("n"))
+    kept = counted(capture.hot_rows(spark, hot), "hot, kept")
+    return written.unionByName(counted(capture.committed(spark, archive), "archive")).unionByName(kept)
 
 
 @query(
