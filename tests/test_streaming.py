@@ -137,3 +137,17 @@ def test_fan_out_query_counts_every_change_in_both_tables(spark, tmp_path):
     for r in streaming_queries.stream_fanout(spark, str(tmp_path)).collect():
         counts[r.sink] += r.n
     assert counts == {"archive": 1000, "hot": 1000, "hot, kept": 1000}
+
+
+def test_large_micro_batches_have_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming_queries, "_FILE_ROWS", 10)
+    gaps = spark.range(400).where("id < 100 OR id >= 299")  # one stretch has a single row
+    for name, df in (("even", spark.range(400)), ("gaps", gaps)):
+        seen, src = [], f"{tmp_path}/{name}"
+        made = lambda rows: rows.withColumn("twice", F.col("id") * 2)
+        stream = streaming_queries._in_order(df, src, "id", made=made)
+        sink = lambda b, n: seen.append(sorted((r.id, r.twice) for r in b.collect()))
+        capture.run(stream, sink, f"{tmp_path}/{name}-progress").awaitTermination()
+        assert sum(seen, []) == [(r.id, 2 * r.id) for r in df.orderBy("id").collect()]
+        if name == "even":
+            assert len(seen) == 4 and len([f for f in os.listdir(src) if f.endswith(".parquet")]) == 40

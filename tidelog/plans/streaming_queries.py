@@ -19,6 +19,9 @@ from tidelog.streaming.target import maintain, maintained
 
 _FILES = 4
 
+#: Micro-batches have files of at least so many rows, so that large ones are written and read by many tasks.
+_FILE_ROWS = 100_000
+
 
 def _folder(spark) -> str:
     return f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
@@ -30,16 +33,24 @@ def _stream(df, path, files=_FILES):
     return logs.stream_log(df.sparkSession, path, df.schema, files_per_trigger=1)
 
 
-def _in_order(df, path, order, batches=_FILES, files=2):
-    """`df` as a stream of `batches` micro-batches, each a stretch of `order`, `files` files wide."""
+def _in_order(df, path, order, batches=_FILES, files=2, made=lambda rows: rows):
+    """`df` as a stream of `batches` micro-batches, each a stretch of `order`, at least `files` files wide.
+
+    The files have what `made` makes of the rows, in the tasks that write them.
+    """
     low, high = df.agg(F.min(order), F.max(order)).first()
-    width = ((high or 0) - (low or 0)) // batches + 1
+    low = low or 0
+    width = ((high or 0) - low) // batches + 1
+    # All stretches have as many files, none of them empty: by the one with the fewest rows.
+    sizes = df.groupBy(F.expr(f"(`{order}` - {low}L) div {width}L").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    fewest = sizes.where("n IS NOT NULL").agg(F.when(F.count("n") == batches, F.min("rows")).alias("rows")).first()["rows"]
+    files = max(files, (fewest or 0) // _FILE_ROWS)
     # Written one after the other, since a file stream follows the age of its files.
     for n in range(batches):
-        start = (low or 0) + n * width
+        start = low + n * width
         stretch = df.where(F.col(order).between(start, start + width - 1))
-        stretch.repartition(files).write.mode("append").parquet(path)
-    return logs.stream_log(df.sparkSession, path, df.schema, files_per_trigger=files)
+        made(stretch.repartition(files)).write.mode("append").parquet(path)
+    return logs.stream_log(df.sparkSession, path, made(df).schema, files_per_trigger=files)
 
 
 @query("stream_capture", ORACLES["wal_decode"])
@@ -101,7 +112,8 @@ def stream_plugged(spark, sf_dir):
     root = _folder(spark)
     kept = [F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq")]
     append = _append_to(f"{root}/counts")
-    stream = _in_order(d.changes(spark, sf_dir).drop("ts"), f"{root}/log", "seq")
+    images = lambda rows: d.with_images(rows, d.new_image(), d.old_image()).drop("ts")
+    stream = _in_order(d.flat_changes(spark, sf_dir), f"{root}/log", "seq", made=images)
     capture.run(
         stream, lambda batch, n: append(batch.groupBy("tbl", "operation").agg(*kept), n), f"{root}/progress"
     ).awaitTermination()
@@ -170,7 +182,8 @@ def stream_dedup(spark, sf_dir):
 @query("stream_apply", d.with_ctes("changes").rstrip() + ",\n" + state_queries._state_sql(state_queries._LOG_ROWS))
 def stream_apply(spark, sf_dir):
     root = _folder(spark)
-    log = d.changes(spark, sf_dir).select("seq", "tbl", "operation", "old", "new")
-    stream = maintain(_in_order(log, f"{root}/log", "seq"), state_queries.TARGET)
+    log = d.flat_changes(spark, sf_dir)
+    images = lambda rows: d.with_images(rows, d.new_image(), d.old_image()).select("seq", "tbl", "operation", "old", "new")
+    stream = maintain(_in_order(log, f"{root}/log", "seq", made=images), state_queries.TARGET)
     capture.run(stream, _append_to(f"{root}/rejected"), f"{root}/progress").awaitTermination()
     return maintained(spark, f"{root}/progress", state_queries.TARGET)

@@ -14,7 +14,7 @@ from tidelog.operators.apply import Target, apply_status
 from tidelog.streaming.capture import Sink
 from tidelog.streaming.state import BUCKET, BUCKETS, BucketState, bucket_of, stored_rows, use_state_store
 
-_OLD = "_old_"
+_OLD, _NEW = "_old_", "_new_"
 
 
 def maintain(changes: DataFrame, target: Target, buckets: int = BUCKETS) -> DataFrame:
@@ -29,20 +29,25 @@ def maintain(changes: DataFrame, target: Target, buckets: int = BUCKETS) -> Data
     use_state_store(changes.sparkSession)
     keys, columns = list(target.keys), list(target.columns)
     op, text = F.col("operation"), lambda image, c: F.col(image)[c].try_cast(target.columns[c]).cast("string")
+    # Looked up once per row: as plain columns the images would be read anew in every expression on them.
+    looked_up = [text(image, c).alias(name + c) for image, name in (("old", _OLD), ("new", _NEW)) for c in columns]
+    looked_up = F.inline(F.array(F.struct(apply_status(target).alias("status"), *looked_up)))
+    changes = changes.select("seq", "tbl", "operation", looked_up).where("status <> 'noop'")
+    old, new = lambda c: F.col(_OLD + c), lambda c: F.col(_NEW + c)
     named, moves = F.lit(True), F.lit(False)
     for k in keys:
-        named = named & text("old", k).isNotNull()
-        moves = moves | (text("new", k).isNotNull() & ~text("new", k).eqNullSafe(text("old", k)))
+        named = named & old(k).isNotNull()
+        moves = moves | (new(k).isNotNull() & ~new(k).eqNullSafe(old(k)))
     tests = op.isin("UPDATE", "DELETE")
     everywhere = (op == "TRUNCATE") | (tests & ~named)
-    status = apply_status(target)
+    status = F.col("status")
     reason = F.when(status == "apply_error", status).when((op == "UPDATE") & named & moves, "moves its key")
-    here = [F.when(op == "INSERT", text("new", k)).otherwise(text("old", k)) for k in keys]
+    here = [F.when(op == "INSERT", new(k)).otherwise(old(k)) for k in keys]
     one = F.array(bucket_of(*here, buckets=buckets))
-    typed = changes.where(status != "noop").select(
+    typed = changes.select(
         "seq", "tbl", "operation", reason.alias("reason"),
-        *[c.alias(k) for k, c in zip(keys, here)], *[text("new", c).alias(c) for c in target.values],
-        *[F.when(tests, text("old", c)).alias(_OLD + c) for c in columns],
+        *[c.alias(k) for k, c in zip(keys, here)], *[new(c).alias(c) for c in target.values],
+        *[F.when(tests, old(c)).alias(_OLD + c) for c in columns],
         F.explode(F.when(reason.isNull() & everywhere, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(one)).alias(BUCKET),
     )
     return typed.groupBy("tbl", BUCKET).transformWithStateInPandas(
@@ -66,7 +71,11 @@ class _Rows(BucketState):
     def handleInputRows(self, key, rows, timerValues):
         rows = self.whole(rows, self._names)
         bad = rows["reason"].notna().to_numpy()
-        changes = rows[~bad].sort_values("seq", kind="stable")
+        changes = rows[~bad]
+        emptied = changes.loc[changes["operation"] == "TRUNCATE", "seq"]
+        if len(emptied):
+            changes = changes[changes["seq"] >= emptied.max()]  # nothing before it is left
+        changes = changes.sort_values("seq", kind="stable")
         if len(changes):
             state, stored = self.load(), np.zeros((0, len(self._columns)), object)
             if state is not None:
